@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.catalog import table
-from . import canonical, encode, mixing, quota, splits, stable
+from . import canonical, encode, forest, mixing, quota, splits, stable
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,15 @@ def p3_sample(spark: SparkSession, d: str) -> DataFrame:
     return stable.stable_sample(table(spark, d, "dev_tied_append"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    near = forest.near_pairs(table(spark, d, "dev_tied_append"), "record_id", ["question", "evidence", "sql_text"])
+    return near.withColumnsRenamed({"id_a": "record_id_a", "id_b": "record_id_b"})
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    return forest.near_groups(table(spark, d, "dev_tied_append"), "record_id", ["question", "evidence", "sql_text"])
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return quota.unmet_targets(table(spark, d, "dev_tied_append"), table(spark, d, "sample_targets"))
 
@@ -57,7 +66,7 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    names = [p2_found, p2_splits, p3_sample, p5_found, p5_sample, p5_report, p6_found, p6_collapsed, p7_ids, p8_mix, p8_report]
+    names = [p2_found, p2_splits, p3_sample, p4_found, p4_groups, p5_found, p5_sample, p5_report, p6_found, p6_collapsed, p7_ids, p8_mix, p8_report]
     return {f.__name__: f for f in names}
 
 
@@ -86,6 +95,15 @@ FROM dev_tied_append WHERE question_id IS NOT NULL GROUP BY question_id)
 SELECT question_id, stratum FROM q
 WHERE ('0x' || substr(md5('sample-1:' || question_id), 1, 13))::BIGINT / 4503599627370496.0
  < CASE stratum WHEN 'simple' THEN 0.1 WHEN 'moderate' THEN 0.15 WHEN 'challenging' THEN 0.25 WHEN 'unknown' THEN 0.2 ELSE 0.1 END
+""",
+        "p4_found": r"""
+WITH s AS (SELECT record_id, list_distinct(regexp_extract_all(lower(concat_ws(' ', question, evidence, sql_text)), '[\pL\pN_]+')) AS w FROM dev_tied_append),
+t AS (SELECT record_id, unnest(w) AS word FROM s), f AS (SELECT word, count(*) AS n FROM t GROUP BY 1),
+r AS (SELECT t.record_id, t.word, row_number() OVER (PARTITION BY t.record_id ORDER BY f.n, t.word) AS pos FROM t JOIN f USING (word)),
+p AS (SELECT r.record_id, r.word FROM r JOIN s USING (record_id) WHERE r.pos <= len(s.w) - ceil(0.75 * len(s.w)) + 1),
+c AS (SELECT DISTINCT x.record_id AS a, y.record_id AS b FROM p x JOIN p y ON x.word = y.word AND x.record_id < y.record_id),
+v AS (SELECT a, b, len(list_intersect(m.w, n.w)) AS k, len(m.w) AS ka, len(n.w) AS kb FROM c JOIN s m ON a = m.record_id JOIN s n ON b = n.record_id)
+SELECT a AS record_id_a, b AS record_id_b FROM v WHERE k >= 0.75 * (ka + kb - k)
 """,
         "p5_found": unmet + "SELECT DISTINCT db_id, difficulty FROM t WHERE need > available",
         "p5_report": unmet

@@ -7,11 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.catalog import table
-from . import canonical, encode, forest, mixing, quota, splits, stable
+from . import canonical, defects, encode, forest, mixing, quota, splits, stable
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return defects.main_labels(table(spark, d, "run_inference_bird"), table(spark, d, "dev_tied_append"))
+
+
+def p1_labels(spark: SparkSession, d: str) -> DataFrame:
+    return defects.labels(table(spark, d, "run_inference_bird"), table(spark, d, "dev_tied_append"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return splits.bound_pairs(table(spark, d, "dev_tied_append"))
 
@@ -66,7 +74,7 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    names = [p2_found, p2_splits, p3_sample, p4_found, p4_groups, p5_found, p5_sample, p5_report, p6_found, p6_collapsed, p7_ids, p8_mix, p8_report]
+    names = [p1_found, p1_labels, p2_found, p2_splits, p3_sample, p4_found, p4_groups, p5_found, p5_sample, p5_report, p6_found, p6_collapsed, p7_ids, p8_mix, p8_report]
     return {f.__name__: f for f in names}
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.catalog import table
-from . import canonical, defects, encode, forest, mixing, quota, splits, stable
+from . import canonical, defects, encode, forest, mixing, pii, quota, splits, stable
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,8 +73,16 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.found(table(spark, d, "documents"), table(spark, d, "name_lexicon"))
+
+
+def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redacted(table(spark, d, "documents"), table(spark, d, "name_lexicon"))
+
+
 def queries() -> dict[str, Query]:
-    names = [p1_found, p1_labels, p2_found, p2_splits, p3_sample, p4_found, p4_groups, p5_found, p5_sample, p5_report, p6_found, p6_collapsed, p7_ids, p8_mix, p8_report]
+    names = [p1_found, p1_labels, p2_found, p2_splits, p3_sample, p4_found, p4_groups, p5_found, p5_sample, p5_report, p6_found, p6_collapsed, p7_ids, p8_mix, p8_report, p9_found, p9_redacted]
     return {f.__name__: f for f in names}
 
 

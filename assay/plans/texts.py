@@ -35,7 +35,7 @@ p AS (SELECT candidate_id, CASE WHEN regexp_matches(x, '(?is)<sql_code>.*?</sql_
     + _HAS.format(x="x")
     + r""" THEN regexp_extract(x, '(?is)\b((?:SELECT|WITH)\b.*)$', 1) ELSE x END AS y FROM f),
 c AS (SELECT candidate_id, """
-    + _CLEAN.format(x="y")
+    + _CLEAN.replace("{x}", "y")
     + """ AS z FROM p)
 SELECT candidate_id, CASE WHEN z = '' THEN '' ELSE z || ';' END AS sql FROM c
 """

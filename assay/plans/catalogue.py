@@ -42,4 +42,4 @@ def flagship_ratio_by_segment(spark: SparkSession, d: str) -> DataFrame:
 
 
 # the queries register themselves when their modules are read
-from . import evaluation, relational, texts  # noqa: E402, F401
+from . import evaluation, library, relational, texts  # noqa: E402, F401

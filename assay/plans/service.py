@@ -19,6 +19,8 @@ from ..sources.catalog import register, table
 
 #: Words that no statement may hold outside of quotes.
 FORBIDDEN = ("pragma", "attach", "detach", "insert", "update", "delete", "drop", "create", "alter", "truncate", "merge", "set", "use", "refresh")
+#: Words no statement can end with; Spark would take some of them for an alias.
+UNFINISHED = ("select", "from", "where", "and", "or", "on", "join", "inner", "left", "group", "order", "by", "having", "limit", "distinct", "as", "in", "not", "is", "like", "between", "union", "except", "intersect")
 #: Spark's error conditions and the service's codes for them.
 CODES = {
     "TABLE_OR_VIEW_NOT_FOUND": "table_not_found", "UNRESOLVED_COLUMN": "column_not_found", "PARSE_SYNTAX_ERROR": "syntax_error", "AMBIGUOUS_REFERENCE": "ambiguous_column",
@@ -63,6 +65,8 @@ class QueryService:
             raise ValueError("only SELECT and WITH statements")
         if ";" in plain or any(w in FORBIDDEN for w in plain):
             raise ValueError("a statement that writes, or more than one")
+        if plain[-1] in UNFINISHED:
+            raise SyntaxError(f"the statement ends with {plain[-1]}")
         return text
 
     def frame(self, sql: str) -> DataFrame:
@@ -80,6 +84,8 @@ class QueryService:
             text = self.check(sql)
         except ValueError as e:
             return {"error": "invalid_sql", "message": str(e)}
+        except SyntaxError as e:
+            return {"error": "syntax_error", "message": str(e)}
         sc, group, late = self.spark.sparkContext, uuid.uuid4().hex, threading.Event()
 
         def stop() -> None:
@@ -154,7 +160,7 @@ class QueryService:
             for text in (row["pred_sql"], row["gold_sql"]):
                 try:
                     frames.append(self.frame(text or ""))
-                except (ValueError, PySparkException):
+                except (ValueError, SyntaxError, PySparkException):
                     frames.append(None)
             equal = False
             if None not in frames:

@@ -12,6 +12,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shipping import ship
+
 _written: list[tuple[SparkSession, str]] = []
 _own: str | None = None
 
@@ -33,6 +35,7 @@ def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     """df written once to the shared folder and read back: later plans start there."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/assay-{uuid.uuid4().hex}/{name}"
+    ship(spark)
     df.write.parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from .shipping import ship
+
 #: Only defaults: every one of them can be overridden by spark-submit or spark-defaults.conf.
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -22,4 +24,6 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
         builder = builder.master(master)
     for key, value in {**DEFAULTS, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark

@@ -7,9 +7,12 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One table; columns that a query doesn't use are never read."""
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Where the public byte-level BPE splits a text into words before it merges bytes.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -164,6 +166,7 @@ def encoded(df: DataFrame, key: str, text: str, vocabulary_path: str | None = No
     Null and empty texts give an empty list, blank ones the ids of their blanks; strings that look like special
     tokens are ordinary text. Rows with a null key keep it. Long texts are encoded whole. Order isn't kept.
     """
+    ship(df.sparkSession)
     vocabulary = df.sparkSession.sparkContext.broadcast(vocabulary_bytes(vocabulary_path))
     schema = pa.schema([("key", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
@@ -179,6 +182,7 @@ def encoded(df: DataFrame, key: str, text: str, vocabulary_path: str | None = No
 
 def token_counts(df: DataFrame, key: str, text: str, carry: list[str], vocabulary_path: str | None = None) -> DataFrame:
     """(key, n_tokens, *carry): the number of ids that encoded() gives, with string columns carried along."""
+    ship(df.sparkSession)
     vocabulary = df.sparkSession.sparkContext.broadcast(vocabulary_bytes(vocabulary_path))
     schema = pa.schema([("key", pa.int64()), ("n_tokens", pa.int64()), *((c, pa.string()) for c in carry)])
 

@@ -51,7 +51,7 @@ def mixed(
     Each source's documents are laid out in order of their salted hash and cut into blocks of as many tokens, total / blocks; a
     document belongs to the block in which its middle lies. The blocks are apportioned to sources by Sainte-Lague, at most
     max_repeats times a source's blocks; each shard gets an equal part of every quota. A quota takes every block of
-    its source quota // blocks times and a seeded choice of blocks once more.
+    its source quota // blocks times and then blocks in a seeded order, until its tokens are reached to half a document.
 
     total_tokens is by default the most that lets every source with documents reach its weight. A source without
     documents gets nothing and its missing tokens are reported; the others keep their weights among each other.
@@ -79,14 +79,17 @@ def mixed(
     n_blocks, wanted, tokens = (F.create_map(*[x for s in live for x in (F.lit(s), F.lit(d[s]))]) if live else F.create_map(F.lit(""), F.lit(1)) for d in (count, quota, there))
     middle = (F.col("before") + F.col("n_tokens") / 2) / tokens[F.col("source")]
     laid = laid.withColumn("block", F.least(F.floor(middle * n_blocks[F.col("source")]), n_blocks[F.col("source")] - 1).cast("long"))
-    # a seeded order of the blocks themselves: at most `blocks` distinct rows a source, ranked apart from the documents
-    order = laid.select("source", "block").distinct().withColumn("v", hash_unit(seed + "-block", "source", "block"))
-    order = order.withColumn("turn", F.row_number().over(Window.partitionBy("source").orderBy("v", "block")))
-    again = wanted[F.col("source")] % n_blocks[F.col("source")]
-    base = F.floor(wanted[F.col("source")] / n_blocks[F.col("source")]).cast("long")
-    order = order.withColumn("repeats", base + (F.col("turn") <= again).cast("long")).withColumn("shard", F.pmod(F.col("turn") - 1, F.lit(shards)).cast("int"))
-    chosen = laid.join(order.where("repeats > 0"), ["source", "block"])
-    mix = cut(chosen.select("doc_id", F.col("source").alias("source_name"), "n_tokens", "repeats", "shard"), "mix")
+    # a seeded order of all blocks, those without a document too: one row a block, ranked apart from the documents
+    every = spark.createDataFrame([(s, count[s]) for s in live], "source string, n long").select("source", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"))
+    order = every.withColumn("turn", F.row_number().over(Window.partitionBy("source").orderBy(hash_unit(seed + "-block", "source", "block"), "block")) - 1)
+    chosen = laid.drop("before").join(order, ["source", "block"]).withColumn("v", F.col("turn") / F.col("n"))
+    # whole rounds first; of the last round the blocks in seeded order, up to the document in which the quota's tokens are reached
+    share = wanted[F.col("source")] * (tokens[F.col("source")] / n_blocks[F.col("source")])
+    rounds = F.floor(wanted[F.col("source")] / n_blocks[F.col("source")]).cast("long")
+    chosen = running_total(chosen, ["source"], "v", "doc_id", "n_tokens")
+    last = F.col("before") + F.col("n_tokens") / 2 <= share - rounds * tokens[F.col("source")]
+    chosen = chosen.withColumn("repeats", rounds + last.cast("long")).withColumn("shard", F.pmod("turn", F.lit(shards)).cast("int"))
+    mix = cut(chosen.where("repeats > 0").select("doc_id", F.col("source").alias("source_name"), "n_tokens", "repeats", "shard"), "mix")
     used = mix.groupBy("source_name").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("used"), F.max("repeats").alias("most_used"))
     frame = spark.createDataFrame(
         [(s, float(g["weight"]), int(g["max_repeats"]), there.get(s, 0), int(round(float(g["weight"]) * reach)) if total_tokens is None else int(round(float(g["weight"]) * total))) for s, g in goals.items()],

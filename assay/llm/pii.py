@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: A span counts from this score on.
 CUTOFF = 1.0
 #: Characters before and after a span in which words move its score.
@@ -308,6 +310,7 @@ def found(documents: DataFrame, lexicon: DataFrame) -> DataFrame:
 
     Null, empty and blank texts have none. Texts are searched whole. No shuffle: a document's pieces are made distinct where it is read.
     """
+    ship(documents.sparkSession)
     given, family = _finder(lexicon)
     schema = pa.schema([("doc_id", pa.int64()), ("pii_kind", pa.string()), ("found_text", pa.string())])
 
@@ -324,6 +327,7 @@ def found(documents: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 def redacted(documents: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(doc_id, text): every document with its personal information replaced by typed placeholders; null stays null."""
+    ship(documents.sparkSession)
     given, family = _finder(lexicon)
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 

@@ -123,10 +123,5 @@ SELECT a AS record_id_a, b AS record_id_b FROM v WHERE k >= 0.75 * (ka + kb - k)
 """,
         "p5_found": unmet + "SELECT DISTINCT db_id, difficulty FROM t WHERE need > available",
         "p5_report": unmet
-        + """, f AS (SELECT *, share_per_10000::BIGINT * sample_size // 10000 AS low, share_per_10000::BIGINT * sample_size % 10000 AS over FROM t),
-g AS (SELECT *, row_number() OVER (ORDER BY over DESC, target_no) AS turn, max(sample_size) OVER () - sum(low) OVER () AS spare FROM f)
-SELECT target_no, db_id, difficulty, available, need::BIGINT AS need,
- least(available, greatest(low + CASE WHEN turn <= spare AND over > 0 THEN 1 ELSE 0 END, min_rows))::BIGINT AS quota,
- greatest(0, need - available)::BIGINT AS deficit FROM g
-""",
+        + "SELECT target_no, db_id, difficulty, available, need::BIGINT AS need, least(available, need)::BIGINT AS quota, greatest(0, need - available)::BIGINT AS deficit FROM t",
     }

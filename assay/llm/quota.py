@@ -22,20 +22,15 @@ def _units(records: DataFrame) -> DataFrame:
 def quotas(units: DataFrame, targets: DataFrame) -> DataFrame:
     """One row for each target: available, need and quota.
 
-    need = max(min_rows, share_per_10000 * sample_size / 10000 rounded up). quota, what the sample takes: the sample_size
-    apportioned by shares with largest remainders (ties by target_no), raised to min_rows, at most what is available.
+    need = max(min_rows, share_per_10000 * sample_size / 10000 rounded up), so that a target counts as met exactly if the sample holds its need.
+    quota, what the sample takes, is the need or all that is available. Null shares and minima count as 0.
     """
     seen = units.groupBy("db_id", "difficulty").agg(F.count("*").alias("available"))
     t = targets.alias("t").join(seen.alias("s"), F.col("t.db_id").eqNullSafe(F.col("s.db_id")) & F.col("t.difficulty").eqNullSafe(F.col("s.difficulty")), "left")
     t = t.select("t.target_no", "t.db_id", "t.difficulty", "t.share_per_10000", "t.min_rows", "t.sample_size", F.coalesce("s.available", F.lit(0)).cast("long").alias("available"))
-    exact = F.coalesce(F.col("share_per_10000").cast("long") * F.col("sample_size"), F.lit(0))
-    t = t.withColumn("floor_rows", F.expr("cast(coalesce(cast(share_per_10000 as bigint) * sample_size, 0) div 10000 as bigint)")).withColumn("over", F.pmod(exact, F.lit(10000)))
-    t = t.withColumn("need", F.greatest(F.coalesce(F.col("min_rows").cast("long"), F.lit(0)), F.col("floor_rows") + (F.col("over") > 0).cast("long")))
-    everywhere = Window.partitionBy()  # the targets are a small fixed table
-    spare = F.max("sample_size").over(everywhere) - F.sum("floor_rows").over(everywhere)
-    t = t.withColumn("turn", F.row_number().over(Window.orderBy(F.desc("over"), "target_no"))).withColumn("spare", spare)
-    share = F.col("floor_rows") + ((F.col("turn") <= F.col("spare")) & (F.col("over") > 0)).cast("long")
-    return t.withColumn("quota", F.least("available", F.greatest(share, F.coalesce(F.col("min_rows").cast("long"), F.lit(0))))).drop("floor_rows", "over", "turn", "spare")
+    share = F.expr("coalesce((cast(share_per_10000 as bigint) * sample_size + 9999) div 10000, 0)")
+    t = t.withColumn("need", F.greatest(F.coalesce(F.col("min_rows").cast("long"), F.lit(0)), share))
+    return t.withColumn("quota", F.least("available", "need"))
 
 
 def unmet_targets(records: DataFrame, targets: DataFrame) -> DataFrame:

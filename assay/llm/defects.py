@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..plans.lineage import cut
 from .answers import features
 
-#: Posteriors above which a label is given. Validated on the labelled answers of tests/llm/test_defects.py, where every value from 0.2 to 0.9 gives the same labels.
+#: Posteriors above which a label is given. Validated on the labelled answers of tests/llm/test_llm.py, where every value from 0.2 to 0.6 gives the same labels.
 CUTOFFS = {"empty": 0.5, "other_language": 0.5, "copied_question": 0.5, "truncated": 0.5, "refusal": 0.5}
 #: Of several labels the one of greatest posterior is the main one; posteriors that differ by less than 0.1 count as equal, then the first here is.
 ORDER = ("empty", "copied_question", "other_language", "truncated", "refusal")
@@ -88,7 +88,7 @@ def labelling_functions() -> dict[str, list[tuple[Column, float]]]:
         ],
         "refusal": [
             (_vote(mute & c("declines") & ~copy, c("full") | c("empty")), 0.95),
-            (_vote(mute & english & ~c("tail_open") & (c("closed") >= 0), ~mute | c("tail_open") | (c("closed") < 0)), 0.995),
+            (_vote(mute & ~copy & english & ~c("tail_open") & (c("closed") >= 0), ~mute | copy | c("tail_open") | (c("closed") < 0)), 0.995),
             (_vote(mute & (c("given") < 0.5), ~mute | copy), 0.95),
             (_vote(no_sql, has_sql), 0.7),
             (_vote(None, foreign), 0.995),
@@ -96,12 +96,12 @@ def labelling_functions() -> dict[str, list[tuple[Column, float]]]:
     }
 
 
-def fit(patterns: dict[str, int], right: list[float], rounds: int = 200, trust: float = 0.3) -> dict[str, float]:
+def fit(patterns: dict[str, int], right: list[float], rounds: int = 200, trust: float = 1.0) -> dict[str, float]:
     """Posterior of the defect for each pattern of votes, by EM from the functions' assumed accuracies.
 
     A function has a rate of being right on defective and one on sound rows, of the rows it votes on: votes count as independent given
     the class, and not voting says nothing. In each round the rates are drawn to the assumed accuracy with trust times the weight of the
-    votes themselves, so that the class stays the defect the functions are written for.
+    class, so that a function that seldom votes isn't turned round by its own few votes, and the class stays the defect it was written for.
     """
     keys = sorted(patterns)
     if not keys:
@@ -120,7 +120,8 @@ def fit(patterns: dict[str, int], right: list[float], rounds: int = 200, trust:
         share = float(np.clip((n * post).sum() / n.sum(), 1e-5, 0.5))
         for weight, good, bad, rate in ((n * post, plus, minus, on_defective), (n * (1 - post), minus, plus, on_sound)):
             cast = weight @ (good + bad)
-            rate[:] = np.clip((weight @ good + guess * (trust * cast + 1)) / ((1 + trust) * cast + 1), 0.5, 0.9999)
+            held = trust * weight.sum() + 1
+            rate[:] = np.clip((weight @ good + guess * held) / (cast + held), 0.5, 0.9999)
         if moved < 1e-9:
             break
     return dict(zip(keys, post.tolist()))

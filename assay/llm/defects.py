@@ -103,9 +103,10 @@ def fit(patterns: dict[str, int], right: list[float], rounds: int = 200, trust:
     the class, and not voting says nothing. In each round the rates are drawn to the assumed accuracy with trust times the weight of the
     class, so that a function that seldom votes isn't turned round by its own few votes, and the class stays the defect it was written for.
     """
-    keys = sorted(patterns)
+    unvoted = {k: 0.0 for k in patterns if not k.strip("0")}  # nothing speaks for a defect there, and they tell nothing about its share
+    keys = sorted(k for k in patterns if k not in unvoted)
     if not keys:
-        return {}
+        return unvoted
     n = np.array([patterns[k] for k in keys], float)
     votes = np.array([["-0+".index(v) - 1 for v in k] for k in keys])
     plus, minus = (votes > 0).astype(float), (votes < 0).astype(float)
@@ -124,7 +125,7 @@ def fit(patterns: dict[str, int], right: list[float], rounds: int = 200, trust:
             rate[:] = np.clip((weight @ good + guess * held) / (cast + held), 0.5, 0.9999)
         if moved < 1e-9:
             break
-    return dict(zip(keys, post.tolist()))
+    return unvoted | dict(zip(keys, post.tolist()))
 
 
 def answer_features(answers: DataFrame, questions: DataFrame, salts: int = 8) -> DataFrame:

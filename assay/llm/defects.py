@@ -143,7 +143,9 @@ def answer_features(answers: DataFrame, questions: DataFrame, salts: int = 8) ->
     common = F.size(F.array_intersect("said", "asked"))
     met = silent.join(asked, ["idx", "salt"]).select("candidate_id", (common / F.size("asked")).alias("given"), (common / F.greatest(F.lit(1), F.size("said"))).alias("own"))
     best = met.groupBy("candidate_id").agg(F.max("given").alias("given"), F.max_by("own", "given").alias("own"))
-    return read.drop("said").join(best, "candidate_id", "left")
+    # only answers that may be copies meet the questions' words; the many others are not shuffled for them
+    spoken = read.where("said is null").drop("said").select("*", F.lit(None).cast("double").alias("given"), F.lit(None).cast("double").alias("own"))
+    return spoken.unionByName(read.where("said is not null").drop("said").join(best, "candidate_id", "left"))
 
 
 def posteriors(answers: DataFrame, questions: DataFrame) -> DataFrame:

@@ -128,20 +128,25 @@ def fit(patterns: dict[str, int], right: list[float], rounds: int = 200, trust:
     return unvoted | dict(zip(keys, post.tolist()))
 
 
-def answer_features(answers: DataFrame, questions: DataFrame, salts: int = 8) -> DataFrame:
+def answer_features(answers: DataFrame, questions: DataFrame) -> DataFrame:
     """What the functions vote on, one row for each answer; given: the greatest part of a question's words that the answer has, own: the part of the answer's
     words that are that question's. Both are null where the answer has a statement, or no text, or no question is known."""
     source = answers.select(
         F.col("candidate_id").cast("long"), F.col("idx").cast("long"), "prediction_text", "pred_sql", "gold_sql", "stop_reason", F.col("completion_token_count").cast("int")
     )
     read = cut(source.mapInArrow(_read, _TYPES), "read")
-    asked = questions.where("question_id is not null and question is not null").select(F.col("question_id").cast("long").alias("idx"), F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("question"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))).alias("asked"))
-    asked = asked.where(F.size("asked") > 0).distinct()
-    # one question may have a third of all answers: they are dealt over salts, and the few wordings of a question repeated for each
-    asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    silent = read.where("said is not null").select("candidate_id", "idx", "said").withColumn("salt", F.pmod(F.xxhash64("candidate_id"), F.lit(salts)).cast("int"))
+    silent = read.where("said is not null").select("candidate_id", "idx", "said")
+    # one question may have a third of all answers: answers of such, at most a thousand, are dealt over salts, for each of which the few wordings are repeated
+    counts = cut(silent.where("idx is not null").groupBy("idx").agg(F.count("*").alias("n")), "counts")
+    many = max(10_000, silent.count() // 1000)
+    salts = F.ceil(F.col("n") / many).cast("int")
+    hot = counts.where(F.col("n") > many).select("idx", salts.alias("salts"))
+    dealt = silent.join(F.broadcast(hot), "idx", "left").withColumn("salt", F.pmod(F.xxhash64("candidate_id"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    named = questions.where("question_id is not null and question is not null").select(F.col("question_id").cast("long").alias("idx"), "question").join(counts, "idx").distinct()
+    asked = named.select("idx", "n", F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("question"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))).alias("asked")).where(F.size("asked") > 0)
+    asked = asked.select("idx", "asked", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > many, salts).otherwise(1) - 1)).alias("salt"))
     common = F.size(F.array_intersect("said", "asked"))
-    met = silent.join(asked, ["idx", "salt"]).select("candidate_id", (common / F.size("asked")).alias("given"), (common / F.greatest(F.lit(1), F.size("said"))).alias("own"))
+    met = dealt.join(asked, ["idx", "salt"]).select("candidate_id", (common / F.size("asked")).alias("given"), (common / F.greatest(F.lit(1), F.size("said"))).alias("own"))
     best = met.groupBy("candidate_id").agg(F.max("given").alias("given"), F.max_by("own", "given").alias("own"))
     # only answers that may be copies meet the questions' words; the many others are not shuffled for them
     spoken = read.where("said is null").drop("said").select("*", F.lit(None).cast("double").alias("given"), F.lit(None).cast("double").alias("own"))

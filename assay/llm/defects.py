@@ -128,7 +128,7 @@ def fit(patterns: dict[str, int], right: list[float], rounds: int = 200, trust:
     return unvoted | dict(zip(keys, post.tolist()))
 
 
-def answer_features(answers: DataFrame, questions: DataFrame) -> DataFrame:
+def answer_features(answers: DataFrame, questions: DataFrame, hot_rows: int = 10_000) -> DataFrame:
     """What the functions vote on, one row for each answer; given: the greatest part of a question's words that the answer has, own: the part of the answer's
     words that are that question's. Both are null where the answer has a statement, or no text, or no question is known."""
     source = answers.select(
@@ -138,7 +138,7 @@ def answer_features(answers: DataFrame, questions: DataFrame) -> DataFrame:
     silent = read.where("said is not null").select("candidate_id", "idx", "said")
     # one question may have a third of all answers: answers of such, at most a thousand, are dealt over salts, for each of which the few wordings are repeated
     counts = cut(silent.where("idx is not null").groupBy("idx").agg(F.count("*").alias("n")), "counts")
-    many = max(10_000, silent.count() // 1000)
+    many = max(hot_rows, silent.count() // 1000)
     salts = F.ceil(F.col("n") / many).cast("int")
     hot = counts.where(F.col("n") > many).select("idx", salts.alias("salts"))
     dealt = silent.join(F.broadcast(hot), "idx", "left").withColumn("salt", F.pmod(F.xxhash64("candidate_id"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")

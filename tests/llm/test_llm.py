@@ -66,6 +66,12 @@ def test_cutoffs_are_validated(answered):
         assert all((main.get(c * 100 + i, (0, None))[1]) == ANSWERS[i][1] for c in range(8) for i in range(len(ANSWERS)))
 
 
+def test_hot_questions_are_salted(answered):
+    """The same features whether a question's answers are dealt over salts or not."""
+    plain, salted = (defects.answer_features(*answered, hot_rows=n).select("candidate_id", "given", "own").collect() for n in (10_000, 20))
+    assert sorted(map(str, plain)) == sorted(map(str, salted)) and any(r["given"] for r in plain)
+
+
 def test_defects_of_nothing(answered, spark):
     df, questions = answered
     assert defects.main_labels(df.limit(0), questions.limit(0)).count() == 0

@@ -1,12 +1,16 @@
-"""Near-duplicates by an LSH forest.
-
-Each of TREES trees orders all records by a signature: a list of least word
-hashes. Records that share a long prefix of it are candidates. How deep a region
-of a tree must be followed is found from counts, region by region: from the
-first depth on, a region of more than REGION records is split by further
-hashes; at the last depth what is still larger is compared block by block, so
-nothing is dropped. Within a region, sorted neighbours are compared by a
-sketch; pairs that pass it are checked exactly on their word sets.
+"""Near-duplicates by an LSH forest and, where it is crowded, an exact prefix join.
+
+Each of TREES trees puts records that share DEPTH least word hashes into one
+region. All pairs of a region of at most REGION records are compared. Deeper
+prefixes would drop pairs of larger regions, so the records of those are joined
+exactly instead: with words ordered from rare to frequent, two similar records
+have their first common word among the first few words of both, their second
+one among those and one more, and so on. A region of one such word that holds
+more than HOT records is split by the second word, then by the third and
+fourth; what is still larger is compared block by block. Pairs whose bitmaps
+don't rule the similarity out are checked exactly on their word sets. So
+a pair at 0.75 is lost only if it meets in no tree, with probability
+(1 - 0.75^3)^32 = 2e-8, and never if it meets in a large region.
 
 Records with one and the same word set are one class from the start and only
 their class goes into the forest.
@@ -25,14 +29,17 @@ from ..plans.lineage import cut
 from .components import components
 
 TREES = 32
-#: Numbers of signature hashes at which a tree's regions are split.
-DEPTHS = (3, 5, 8, 12)
-#: Most records of a region that isn't split further.
+#: Signature hashes that records of one region share.
+DEPTH = 3
+#: Most records of a region of the forest; the records of larger ones are joined by their rare words.
 REGION = 32
-#: Bytes of the sketch, one of each minimum hash; and how many must agree for a pair to be checked at a similarity of 0.75:
-#: the expected number there is 48, its deviation 3.5, so a pair at the threshold passes in all but 1 of 50,000 cases.
-SKETCH = 64
-SLACK = 14
+#: Most records that share a beginning of rare words and aren't split by the next word; most words of such a beginning.
+HOT = 512
+LEVELS = 4
+#: Words are ordered by the counts of so many buckets of their hashes; any order gives the same pairs.
+BUCKETS = 1 << 16
+#: Bits of a record's bitmap, each the parity of the words that fall on it: sets differ in at least as many words as bitmaps do in bits.
+BITS = 512
 
 
 def words(*columns: str) -> Column:
@@ -41,23 +48,31 @@ def words(*columns: str) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))))
 
 
-def _signer(trees: int, seed: int):
-    depth = DEPTHS[-1]
+def _least_shared(size, similarity: float):
+    """Words that a set of so many words shares at least with any similar set."""
+    return np.ceil(size * similarity - 1e-9).astype(np.int64)
+
+
+def _signer(trees: int, seed: int, counts: np.ndarray, similarity: float):
+    """One row for each class: its regions in the forest, its bitmap, its rarest words in order, and how many it needs to share."""
     rng = np.random.default_rng(seed)
-    total = trees * depth + SKETCH
+    total = trees * DEPTH
     odd = rng.integers(0, 1 << 63, total, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     plus = rng.integers(0, 1 << 63, total, dtype=np.uint64)
-    schema = pa.schema([("cid", pa.int64()), ("tree", pa.int32()), ("sig", pa.binary()), ("sketch", pa.binary())])
+    schema = pa.schema([("cid", pa.int64()), ("size", pa.int32()), ("need", pa.int32()), ("bits", pa.binary()), ("regions", pa.list_(pa.int64())), ("rare", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, len(batch), 2000):
                 part = batch.slice(start, 2000)
                 hashes = part.column(1)
-                flat, ends = np.asarray(hashes.flatten(), np.int64).astype(np.uint64), np.diff(np.asarray(hashes.offsets))
+                signed, sizes = np.asarray(hashes.flatten(), np.int64), np.diff(np.asarray(hashes.offsets))
+                flat, need = signed.astype(np.uint64), _least_shared(sizes, similarity)
                 least = np.empty((len(part), total), np.uint32)
+                parity = np.empty((len(part), BITS), np.uint8)
+                rare = []
                 at = 0
-                for i, n in enumerate(ends):
+                for i, n in enumerate(sizes):
                     best = None
                     for lo in range(at, at + n, 4096):  # a very long text takes no more memory
                         x = flat[lo : min(lo + 4096, at + n), None] * odd + plus
@@ -65,32 +80,43 @@ def _signer(trees: int, seed: int):
                         low = (x * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).min(axis=0)
                         best = low if best is None else np.minimum(best, low)
                     least[i] = best
+                    own = signed[at : at + n]
+                    parity[i] = np.bincount(own >> 40 & (BITS - 1), minlength=BITS) & 1
+                    rare.append(own[np.lexsort((own, counts[own & (BUCKETS - 1)]))[: n - need[i] + LEVELS]])
                     at += n
-                sketch = (least[:, trees * depth :] & np.uint32(255)).astype(np.uint8)
-                rows = np.ascontiguousarray(least[:, : trees * depth]).reshape(len(part) * trees, depth)
-                sigs = pa.FixedSizeBinaryArray.from_buffers(pa.binary(depth * 4), len(rows), [None, pa.py_buffer(rows.tobytes())]).cast(pa.binary())
-                marks = pa.FixedSizeBinaryArray.from_buffers(pa.binary(SKETCH), len(rows), [None, pa.py_buffer(np.repeat(sketch, trees, axis=0).tobytes())]).cast(pa.binary())
-                cids = np.repeat(np.asarray(part.column(0)), trees)
-                yield pa.RecordBatch.from_arrays([pa.array(cids), pa.array(np.tile(np.arange(trees, dtype=np.int32), len(part))), sigs, marks], schema=schema)
+                region = np.tile(np.arange(trees, dtype=np.uint64), (len(part), 1))
+                for k in range(DEPTH):
+                    region = (region ^ least[:, k::DEPTH]) * np.uint64(0x9E3779B97F4A7C15)
+                    region ^= region >> np.uint64(32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0), pa.array(sizes, pa.int32()), pa.array(need, pa.int32()), pa.array([x.tobytes() for x in np.packbits(parity, axis=1)], pa.binary()),
+                        pa.ListArray.from_arrays(np.arange(0, region.size + 1, trees, dtype=np.int32), pa.array(region.view(np.int64).ravel())),
+                        pa.ListArray.from_arrays(np.cumsum([0, *map(len, rare)], dtype=np.int32), pa.array(np.concatenate(rare))),
+                    ],
+                    schema=schema,
+                )
 
     return run
 
 
-def _neighbours(agree: int):
-    """Pairs of rows of one region whose sketches agree in enough bytes; rows come sorted by region."""
+def _neighbours(similarity: float):
+    """Pairs of rows of one region whose sizes and bitmaps allow the similarity; rows come sorted by region."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    share = (1 - similarity) / (1 + similarity)  # sets differ in so many of the words of both at most
 
-    def compare(region: np.ndarray, cid: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
+    def compare(region: np.ndarray, cid: np.ndarray, size: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
         left, right = [], []
         step, live = 1, np.arange(len(region))
         while True:
-            live = live[live + step < len(region)]
+            live = live[: np.searchsorted(live, len(region) - step)]
             live = live[region[live] == region[live + step]]
             if not len(live):
                 break
-            same = (sketch[live] == sketch[live + step]).sum(axis=1) >= agree
-            left.append(cid[live[same]])
-            right.append(cid[live[same] + step])
+            far = np.maximum(np.bitwise_count(bits[live] ^ bits[live + step]).sum(axis=1, dtype=np.int32), np.abs(size[live] - size[live + step]))
+            same = live[far <= (size[live] + size[live + step]) * share + 1e-6]
+            left.append(cid[same])
+            right.append(cid[same + step])
             step += 1
         a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
         least, most = np.minimum(a, b), np.maximum(a, b)
@@ -102,37 +128,60 @@ def _neighbours(agree: int):
         for batch in batches:
             if not len(batch):
                 continue
-            region, cid = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            sketch = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(batch), SKETCH)
+            region, cid, size = (np.asarray(batch.column(i)) for i in range(3))
+            bits = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(len(batch), BITS // 64)
             if rest is not None:
-                region, cid, sketch = (np.concatenate(x) for x in zip(rest, (region, cid, sketch)))
+                region, cid, size, bits = (np.concatenate(x) for x in zip(rest, (region, cid, size, bits)))
             end = int(np.searchsorted(region, region[-1]))  # the last region may go on in the next batch
             if end:
-                yield compare(region[:end], cid[:end], sketch[:end])
-            rest = region[end:], cid[end:], sketch[end:]
+                yield compare(region[:end], cid[:end], size[:end], bits[:end])
+            rest = region[end:], cid[end:], size[end:], bits[end:]
         if rest is not None:
             yield compare(*rest)
 
     return run
 
 
-def _regions(signed: DataFrame) -> DataFrame:
-    """(region, cid, sketch): every record in every tree at the first depth at which its region has at most REGION records."""
+def _large(keyed: DataFrame, most: int) -> DataFrame:
+    return cut(keyed.groupBy("region").agg(F.count("*").alias("n")).where(F.col("n") > most), "large")
+
+
+def _rare_regions(signed: DataFrame) -> DataFrame:
+    """(region, cid, size, bits): any two similar records meet in a region of the rarest words they share, the first up to LEVELS of them."""
+    shown = ["region", "cid", "size", "bits"]
     out: DataFrame | None = None
-    rest = signed
-    for level, depth in enumerate(DEPTHS):
-        keyed = rest.withColumn("region", F.xxhash64(F.lit(depth), "tree", F.substring("sig", 1, 4 * depth)))
-        large = cut(keyed.groupBy("region").agg(F.count("*").alias("n")).where(F.col("n") > REGION), "large")
-        narrow = large.select("region")
-        part = keyed.join(narrow, "region", "left_anti").select("region", "cid", "sketch")
+    rest = signed.withColumns({"region": F.lit(0).cast("long"), "at": F.lit(0)})
+    for level in range(1, LEVELS + 1):
+        # "at" words are passed; the level-th common word of a similar pair is among the first size - need + level
+        keyed = rest.select("region", "cid", "size", "need", "bits", "at", F.posexplode(F.slice("rare", F.col("at") + 1, F.col("size") - F.col("need") + level - F.col("at"))))
+        keyed = keyed.select(F.xxhash64("region", "col").alias("region"), "cid", "size", "need", "bits", (F.col("at") + F.col("pos") + 1).alias("at"))
+        large = _large(keyed, HOT)
+        part = keyed.join(large, "region", "left_anti").select(shown)
         out = part if out is None else out.unionByName(part)
-        rest = keyed.join(narrow, "region", "left_semi").drop("region")
-        if level == len(DEPTHS) - 1:
-            # still too large: cut into chunks of about REGION records, every two chunks meet in a region of their own
-            chunks = keyed.join(large, "region").withColumn("chunks", F.ceil(F.col("n") / REGION).cast("int")).withColumn("mine", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int"))
-            met = chunks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-            met = met.select(F.xxhash64("region", F.least("mine", "other"), F.greatest("mine", "other")).alias("region"), "cid", "sketch")
-            out = out.unionByName(met)
+        hot = keyed.join(large, "region")
+        # every two chunks of about HOT records meet in a region of their own: at the last level all, before it those that may share no further word
+        chunks = (hot if level == LEVELS else hot.where(F.col("need") <= level)).withColumn("chunks", F.ceil(F.col("n") / HOT).cast("int"))
+        met = chunks.withColumn("mine", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        out = out.unionByName(met.withColumn("region", F.xxhash64("region", F.least("mine", "other"), F.greatest("mine", "other"))).select(shown))
+        if level < LEVELS:
+            rest = hot.select("region", "cid", "at").join(signed.select("cid", "size", "need", "bits", "rare"), "cid")
+    return out
+
+
+def _regions(signed: DataFrame) -> DataFrame:
+    """(region, cid, size, bits): every record in its small regions of the forest, and all of large ones in those of their rare words."""
+    keyed = signed.select(F.explode("regions").alias("region"), "cid", "size", "bits")
+    large = _large(keyed, REGION)
+    crowded = keyed.join(large, "region", "left_semi").select("cid").distinct()
+    crowded = cut(signed.join(crowded, "cid", "left_semi").select("cid", "size", "need", "bits", "rare"), "crowded")
+    return keyed.join(large, "region", "left_anti").unionByName(_rare_regions(crowded))
+
+
+def _counts(classes: DataFrame) -> np.ndarray:
+    """How many words fall on each of BUCKETS buckets."""
+    seen = classes.select(F.explode("words").alias("w")).groupBy(F.col("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).agg(F.count("*").alias("k")).toArrow()
+    out = np.zeros(BUCKETS, np.int64)
+    out[np.asarray(seen.column("b"))] = np.asarray(seen.column("k"))
     return out
 
 
@@ -147,11 +196,10 @@ def word_classes(records: DataFrame, key: str, columns: list[str]) -> DataFrame:
 def class_pairs(classes: DataFrame, similarity: float, trees: int = TREES, seed: int = 7) -> DataFrame:
     """(a, b): pairs of classes whose word sets have Jaccard similarity >= similarity, a < b. Written."""
     single = classes.where("id = cid").select("cid", "words")
-    signed = cut(single.mapInArrow(_signer(trees, seed), "cid long, tree int, sig binary, sketch binary"), "signed")
-    agree = max(1, round(similarity * SKETCH) - SLACK)
-    routed = _regions(signed)
-    routed = routed.repartition("region").sortWithinPartitions("region")
-    pairs = cut(routed.mapInArrow(_neighbours(agree), "a long, b long").distinct(), "candidates")
+    signer = _signer(trees, seed, _counts(single), similarity)
+    signed = cut(single.mapInArrow(signer, "cid long, size int, need int, bits binary, regions array<long>, rare array<long>"), "signed")
+    routed = _regions(signed).repartition("region").sortWithinPartitions("region")
+    pairs = cut(routed.mapInArrow(_neighbours(similarity), "a long, b long").distinct(), "candidates")
     left, right = single.select(F.col("cid").alias("a"), F.col("words").alias("wa")), single.select(F.col("cid").alias("b"), F.col("words").alias("wb"))
     common = F.size(F.array_intersect("wa", "wb"))
     near = pairs.join(left, "a").join(right, "b").withColumn("common", common)

@@ -201,6 +201,33 @@ def test_near_pairs_beyond_the_last_depth(spark):
     assert forest.near_pairs(df, "record_id", ["question"]).count() == 90 * 89 // 2
 
 
+def test_near_pairs_in_a_family_of_many_edits(spark):
+    """Deeper prefixes of a large region split pairs that are just similar enough: 1,000 edits of one record against brute force."""
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(40)]
+    rows = []
+    for i in range(1000):
+        edited = base[:]
+        for k in rng.sample(range(40), 3):
+            edited[k] = f"v{i}x{k}"
+        rows.append((i, " ".join(edited)))
+    got = {tuple(r) for r in forest.near_pairs(spark.createDataFrame(rows, "record_id long, question string"), "record_id", ["question"]).collect()}
+    assert got == near_truth(rows)
+
+
+@pytest.mark.parametrize("similarity", [0.75, 0.5])
+def test_near_pairs_when_rare_words_are_hot(spark, monkeypatch, similarity):
+    """Every region is split word by word and then in blocks; sets of a few words run out of words to be split by."""
+    monkeypatch.setattr(forest, "REGION", 1)
+    monkeypatch.setattr(forest, "HOT", 3)
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.sample("abcdefgh", rng.choice([1, 2, 3, 4, 6])))) for i in range(60)]
+    sets = {k: set(x.split()) for k, x in rows}
+    truth = {(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])}
+    got = {tuple(r) for r in forest.near_pairs(spark.createDataFrame(rows, "record_id long, question string"), "record_id", ["question"], similarity).collect()}
+    assert got == truth
+
+
 def test_near_pairs_of_long_and_hot_texts(spark):
     long = " ".join(f"x{i}" for i in range(20_000))
     rows = [(0, long), (1, long + " more"), *[(10 + i, "the same text again") for i in range(40)]]

@@ -42,7 +42,7 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return quota.unmet_targets(table(spark, d, "dev_tied_append"), table(spark, d, "sample_targets"))
+    return quota.unmet_in_sample(table(spark, d, "dev_tied_append"), table(spark, d, "sample_targets"))
 
 
 def p5_sample(spark: SparkSession, d: str) -> DataFrame:

@@ -53,10 +53,12 @@ def quota_sample(records: DataFrame, targets: DataFrame, seed: str = "quota-1",
     Each question is accepted on its own, if its salted hash is below quota / available * OVERSAMPLE. The counts are then made
     exact by the same hash: the slot of the hash in which a category's count passes its quota is found from counts by slot, and
     only that slot's rows are ranked. A category that came short takes its next questions in hash order, as if it had been
-    accepted with a higher probability. A category outside of the targets is not drawn from. Null db_ids match null targets.
+    accepted with a higher probability. A category outside of the targets is not drawn from, one of several
+    targets fills the largest quota. Null db_ids match null targets.
     """
     units = _units(records)
-    plan = cut(quotas(units, targets).where("quota > 0").select("db_id", "difficulty", "available", "quota"), "plan")
+    plan = quotas(units, targets).where("quota > 0").groupBy("db_id", "difficulty").agg(F.max("available").alias("available"), F.max("quota").alias("quota"))
+    plan = cut(plan, "plan")
     drawn = units.withColumn("u", hash_unit(seed, "question_id", "difficulty", "db_id")).alias("x").join(
         F.broadcast(plan).alias("p"), F.col("x.db_id").eqNullSafe(F.col("p.db_id")) & F.col("x.difficulty").eqNullSafe(F.col("p.difficulty"))
     ).select("x.*", "p.available", "p.quota")
@@ -74,3 +76,11 @@ def quota_sample(records: DataFrame, targets: DataFrame, seed: str = "quota-1",
     at = met.where("slot = edge").withColumn("turn", F.row_number().over(Window.partitionBy("db_id", "difficulty").orderBy("u", "question_id")))
     columns = ["question_id", "db_id", "difficulty"]
     return met.where("slot < edge").select(*columns).unionByName(at.where("turn <= quota - below").select(*columns))
+
+
+def unmet_in_sample(records: DataFrame, targets: DataFrame) -> DataFrame:
+    """(db_id, difficulty) of the targets whose need the sample of quota_sample doesn't hold: the rows of unmet_targets, from what was drawn."""
+    taken = quota_sample(records, targets).groupBy("db_id", "difficulty").agg(F.count("*").alias("taken")).alias("s")
+    q = quotas(_units(records), targets).alias("q")
+    met = q.join(taken, F.col("q.db_id").eqNullSafe(F.col("s.db_id")) & F.col("q.difficulty").eqNullSafe(F.col("s.difficulty")), "left")
+    return met.where("q.need > coalesce(s.taken, 0)").select("q.db_id", "q.difficulty").distinct()

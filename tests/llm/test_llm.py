@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from assay.llm import answers, canonical, components, defects, encode, forest, mixing, pii, quota, splits, stable
+from assay.llm import answers, canonical, components, defects, encode, forest, mixing, pii, queries, quota, splits, stable
 
 CLASH = "id long, form string, u double, slot int, before long, n long, component string, label string, words string, key long"
 
@@ -264,6 +264,24 @@ def test_quota_sample(spark):
     assert quota.quota_sample(df.limit(0), targets).count() == 0 and quota.unmet_targets(df.limit(0), targets).count() == 5
 
 
+def test_p5_found_judges_the_sample(spark, tmp_path, monkeypatch):
+    """The query's rows come from what was drawn; a category of two targets is drawn once, for the larger."""
+    df = spark.createDataFrame([(i, i, "ab"[i % 2], "hard") for i in range(400)] + [(900, 900, None, "hard")], "record_id long, question_id long, db_id string, difficulty string")
+    targets = spark.createDataFrame(
+        [(1, "a", "hard", 0, 50, 9), (2, "a", "hard", 0, 120, 9), (3, "b", "hard", 0, 201, 9), (4, "b", "hard", 0, 7, 9), (5, None, "hard", 0, 2, 9), (6, "z", "easy", 0, 0, 9)],
+        "target_no int, db_id string, difficulty string, share_per_10000 int, min_rows int, sample_size int",
+    )
+    df.write.parquet(str(tmp_path / "dev_tied_append.parquet"))
+    targets.write.parquet(str(tmp_path / "sample_targets.parquet"))
+    sample = quota.quota_sample(df, targets)
+    assert sample.count() == sample.distinct().count()
+    assert {r["db_id"]: r["count"] for r in sample.groupBy("db_id").count().collect()} == {"a": 120, "b": 200, None: 1}
+    found = lambda: {tuple(r) for r in queries.p5_found(spark, str(tmp_path)).collect()}
+    assert found() == {("b", "hard"), (None, "hard")} == {tuple(r) for r in quota.unmet_targets(df, targets).collect()}
+    monkeypatch.setattr(quota, "quota_sample", lambda *_: sample.where("db_id = 'b'"))
+    assert found() == {("a", "hard"), ("b", "hard"), (None, "hard")}
+
+
 # --- 6: formatting differences -----------------------------------------------------------------------------------------------
 
 

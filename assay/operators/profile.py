@@ -9,8 +9,6 @@ from pyspark.sql.types import NumericType
 C = F.col
 #: Shapes of dates.
 DATE_SHAPES = r"^(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}/\d{2}/\d{4}|\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})$"
-#: Text longer than this is cut before it is counted as a value.
-CLIP = 10_000
 
 
 def looks_like_date(x: Column) -> Column:
@@ -30,9 +28,9 @@ def declared_kind(type_name: Column) -> Column:
 
 
 def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(column_name, value, n): how often each value occurs, as text; nulls counted too. One shuffle of partial counts, whatever the number of columns."""
+    """(column_name, value, n): how often each value occurs, as whole text; nulls counted too. One shuffle of partial counts, whatever the number of columns."""
     names = columns or df.columns
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.substring(C(f"`{c}`").cast("string"), 1, CLIP).alias("value")) for c in names])).alias("x"))
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), C(f"`{c}`").cast("string").alias("value")) for c in names])).alias("x"))
     return long.groupBy("x.column_name", "x.value").agg(F.count("*").alias("n"))
 
 

@@ -42,6 +42,15 @@ def test_match_column():
     assert [match_column(c, columns) for c in ("t_bil", "CreationDate", "HBG", "nslp_provision_status", "zzz", "")] == ["T-BIL", "CreaionDate", "HGB", "NSLP Provision Status", None, None]
 
 
+def test_profile_of_long_texts(spark):
+    """Texts that differ behind 10,000 characters are different values, with their own lengths."""
+    df = spark.createDataFrame([("x" * 12_000 + end,) for end in ("a", "b", "b", "cc")], "note string")
+    r = profile.column_profile(df).first()
+    assert (r["distinct_count"], r["len_min"], r["len_max"], r["len_mean"], r["text_max"][-2:]) == (3, 12_001, 12_002, 12_001.25, "cc")
+    assert [(x["value"][-1], x["n"]) for x in profile.top_values(df).orderBy("place").collect()] == [("b", 2), ("a", 1), ("c", 1)]
+    assert "Distinct: 3" in profile.schema_text(df, "demo")
+
+
 def test_profile(spark):
     long = "L" * 60
     data = [(1, "2024-01-02", long), (1, "2024-01-02", long), (1, "2024-01-02", long), (2, "2024-01-01", "s"), (2, "2024-01-01", "s"), (3, "2024-01-03", "medium")]

@@ -50,7 +50,8 @@ def mixed(
 
     Each source's documents are laid out in order of their salted hash and cut into blocks of as many tokens, total / blocks; a
     document belongs to the block in which its middle lies. The blocks are apportioned to sources by Sainte-Lague, at most
-    max_repeats times a source's blocks; each shard gets an equal part of every quota. A quota takes every block of
+    max_repeats times a source's blocks; shards get blocks in turn,
+    so a source's tokens by shard are only about equal. A quota takes every block of
     its source quota // blocks times and then blocks in a seeded order, until its tokens are reached to half a document.
 
     total_tokens is by default the most that lets every source with documents reach its weight. A source without

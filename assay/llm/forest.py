@@ -1,233 +1,340 @@
-"""Near-duplicates by an LSH forest and, where it is crowded, an exact prefix join.
-
-Each of TREES trees puts records that share DEPTH least word hashes into one
-region. All pairs of a region of at most REGION records are compared. Deeper
-prefixes would drop pairs of larger regions, so the records of those are joined
-exactly instead: with words ordered from rare to frequent, two similar records
-have their first common word among the first few words of both, their second
-one among those and one more, and so on. A region of one such word that holds
-more than HOT records is split by the second word, then by the third and
-fourth; what is still larger is compared block by block. Pairs whose bitmaps
-don't rule the similarity out are checked exactly on their word sets. So
-a pair at 0.75 is lost only if it meets in no tree, with probability
-(1 - 0.75^3)^32 = 2e-8, and never if it meets in a large region.
-
-Records with one and the same word set are one class from the start and only
-their class goes into the forest.
+"""Near-duplicates by an LSH forest.
+
+A record's signature has one 16-bit min-hash for each of its positions. An order reads DEPTH positions of its own first; records
+sorted by it stand beside those with which they share the longest prefix. A region is a run of records whose common prefix
+is as deep as the region needs:
+
+1. In every order the runs that share DEPTH hashes are regions. All pairs of a region of at most HOT records are candidates.
+2. A larger region is followed deeper by two more positions at a time. One deeper order alone would part similar records, so a
+   region goes on in several (BRANCHES at 0.75) that read different positions: a pair of the wanted similarity then stays together in
+   some of them with probability SURVIVES however deep they lead. The number of orders is set so that a pair exactly at the
+   similarity is lost with probability MISS.
+3. A region whose deeper runs would not halve its comparisons is alike throughout; it is compared as it is, block by block.
+
+Candidates are pairs whose 112-bit bitmaps (the parity of the words that fall on each bit) and sizes don't rule the similarity
+out. They are checked exactly on their words, which are read again for them alone, so rows of the forest carry no words.
+Records with one and the same word set are one class from the start and only one of them goes into the forest.
 """
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
+from ..shipping import ship
 from .components import components
+from .ranks import join_counted
 
-TREES = 32
-#: Signature hashes that records of one region share.
+#: Hashes of 16 bits that an order's first regions share; three fit into a key beside the order's number.
 DEPTH = 3
-#: Most records of a region of the forest; the records of larger ones are joined by their rare words.
-REGION = 32
-#: Most records that share a beginning of rare words and aren't split by the next word; most words of such a beginning.
-HOT = 512
-LEVELS = 4
-#: Words are ordered by the counts of so many buckets of their hashes; any order gives the same pairs.
-BUCKETS = 1 << 16
-#: Bits of a record's bitmap, each the parity of the words that fall on it: sets differ in at least as many words as bitmaps do in bits.
-BITS = 512
-
-
-def words(*columns: str) -> Column:
-    """The set of words (runs of letters, digits and '_', lower case) of the columns together, sorted; null counts as empty."""
-    text = F.lower(F.concat_ws(" ", *[F.col(c) for c in columns]))
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))))
-
-
-def _least_shared(size, similarity: float):
-    """Words that a set of so many words shares at least with any similar set."""
-    return np.ceil(size * similarity - 1e-9).astype(np.int64)
-
-
-def _signer(trees: int, seed: int, counts: np.ndarray, similarity: float):
-    """One row for each class: its regions in the forest, its bitmap, its rarest words in order, and how many it needs to share."""
-    rng = np.random.default_rng(seed)
-    total = trees * DEPTH
-    odd = rng.integers(0, 1 << 63, total, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    plus = rng.integers(0, 1 << 63, total, dtype=np.uint64)
-    schema = pa.schema([("cid", pa.int64()), ("size", pa.int32()), ("need", pa.int32()), ("bits", pa.binary()), ("regions", pa.list_(pa.int64())), ("rare", pa.list_(pa.int64()))])
+#: Most records of a region whose pairs are all compared as they are.
+HOT = 4096
+#: How often a pair exactly at the similarity may be lost, and the part of them that stays together in deeper orders.
+MISS, SURVIVES = 5e-6, 0.95
+#: Bits of a bitmap; its size stands in the other 16 bits of two longs.
+BITS = 112
+#: Words a task remembers with their hashes; results don't depend on it.
+KNOWN = 1 << 17
+
+_WORD = re.compile(r"\w+").findall
+_SIGNED = "id long, form1 long, form2 long, s1 long, s2 long, sig binary"
+
+
+def orders_for(similarity: float) -> int:
+    """Orders needed for MISS."""
+    return math.ceil(math.log(MISS) / math.log(1 - SURVIVES * similarity**DEPTH))
+
+
+def branches_for(similarity: float) -> int:
+    """Deeper orders of two positions each in which a pair goes on; over one of them is expected to keep it together."""
+    return math.ceil(2.25 / similarity**2 - 1e-9)
+
+
+def _words(texts: tuple[str | None, ...]) -> set[str]:
+    return set(_WORD(" ".join(t for t in texts if t).lower()))
+
+
+class _Signer:
+    """Signatures, bitmaps and set digests of word sets; hashes of words are remembered from batch to batch."""
+
+    def __init__(self, positions: int, seed: int) -> None:
+        rng = np.random.default_rng(seed)
+        self.odd = rng.integers(0, 1 << 63, positions, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.plus = rng.integers(0, 1 << 63, positions, dtype=np.uint64)
+        self.positions = positions
+        self.known: dict[str, int] = {}
+        self.least = np.empty((KNOWN, positions), np.uint32)
+        self.mixed = np.empty((KNOWN, 2), np.uint64)
+        self.bit = np.empty(KNOWN, np.int64)
+
+    def _learn(self, new: list[str]) -> None:
+        at = len(self.known)
+        h = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in new), np.uint64, len(new))
+        for lo in range(0, len(new), 256):
+            x = h[lo : lo + 256, None] * self.odd + self.plus
+            x ^= x >> np.uint64(29)
+            self.least[at + lo : at + lo + x.shape[0]] = x * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)
+        for k, c in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)):
+            y = (h ^ h >> np.uint64(31)) * np.uint64(c)
+            self.mixed[at : at + len(new), k] = y ^ y >> np.uint64(33)
+        self.bit[at : at + len(new)] = h % np.uint64(BITS)
+        self.known.update(zip(new, range(at, at + len(new))))
+
+    def _part(self, sets: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """least hashes, digests and bit parities of lists of words, none of them empty."""
+        new = list(dict.fromkeys(w for s in sets for w in s if w not in self.known))
+        if len(self.known) + len(new) > KNOWN:
+            self.known.clear()
+            new = list(dict.fromkeys(w for s in sets for w in s))
+        if new:
+            self._learn(new)
+        known, sizes = self.known, np.fromiter(map(len, sets), np.int64, len(sets))
+        flat = np.fromiter((known[w] for s in sets for w in s), np.int64, int(sizes.sum()))
+        starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        cells = np.repeat(np.arange(len(sets)) * BITS, sizes) + self.bit[flat]
+        parity = (np.bincount(cells, minlength=len(sets) * BITS) & 1).astype(np.uint8).reshape(len(sets), BITS)
+        return np.minimum.reduceat(self.least[flat], starts), np.add.reduceat(self.mixed[flat], starts), parity
+
+    def sign(self, sets: list[set[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(digests, bitmaps with sizes, signatures) of word sets, none of them empty; a long one is read in pieces."""
+        pieces, owner = [], []
+        for i, s in enumerate(sets):
+            words = list(s)
+            for lo in range(0, len(words), 20_000):
+                pieces.append(words[lo : lo + 20_000])
+                owner.append(i)
+        parts, group, held = [], [], 0
+        for p in [*pieces, None]:
+            if p is None or held + len(p) > 60_000:
+                if group:
+                    parts.append(self._part(group))
+                group, held = [], 0
+            if p is not None:
+                group.append(p)
+                held += len(p)
+        least, mixed, parity = (np.concatenate(x) for x in zip(*parts))
+        first = np.flatnonzero(np.diff(owner, prepend=-1))
+        if len(first) < len(owner):
+            least, mixed, parity = np.minimum.reduceat(least, first), np.add.reduceat(mixed, first), np.add.reduceat(parity, first) & 1
+        size = np.minimum(np.fromiter(map(len, sets), np.int64, len(sets)), 0xFFFF).astype("<u2")
+        bitmap = np.concatenate([np.packbits(parity, axis=1), size[:, None].view(np.uint8)], axis=1)
+        return mixed.view(np.int64), np.ascontiguousarray(bitmap).view("<i8"), (least & np.uint32(0xFFFF)).astype(">u2")
+
+
+def _signing(positions: int, seed: int):
+    schema = pa.schema([("id", pa.int64()), *((c, pa.int64()) for c in ("form1", "form2", "s1", "s2")), ("sig", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signer = _Signer(positions, seed)
         for batch in batches:
-            for start in range(0, len(batch), 2000):
-                part = batch.slice(start, 2000)
-                hashes = part.column(1)
-                signed, sizes = np.asarray(hashes.flatten(), np.int64), np.diff(np.asarray(hashes.offsets))
-                flat, need = signed.astype(np.uint64), _least_shared(sizes, similarity)
-                least = np.empty((len(part), total), np.uint32)
-                parity = np.empty((len(part), BITS), np.uint8)
-                rare = []
-                at = 0
-                for i, n in enumerate(sizes):
-                    best = None
-                    for lo in range(at, at + n, 4096):  # a very long text takes no more memory
-                        x = flat[lo : min(lo + 4096, at + n), None] * odd + plus
-                        x ^= x >> np.uint64(29)
-                        low = (x * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).min(axis=0)
-                        best = low if best is None else np.minimum(best, low)
-                    least[i] = best
-                    own = signed[at : at + n]
-                    parity[i] = np.bincount(own >> 40 & (BITS - 1), minlength=BITS) & 1
-                    rare.append(own[np.lexsort((own, counts[own & (BUCKETS - 1)]))[: n - need[i] + LEVELS]])
-                    at += n
-                region = np.tile(np.arange(trees, dtype=np.uint64), (len(part), 1))
-                for k in range(DEPTH):
-                    region = (region ^ least[:, k::DEPTH]) * np.uint64(0x9E3779B97F4A7C15)
-                    region ^= region >> np.uint64(32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0), pa.array(sizes, pa.int32()), pa.array(need, pa.int32()), pa.array([x.tobytes() for x in np.packbits(parity, axis=1)], pa.binary()),
-                        pa.ListArray.from_arrays(np.arange(0, region.size + 1, trees, dtype=np.int32), pa.array(region.view(np.int64).ravel())),
-                        pa.ListArray.from_arrays(np.cumsum([0, *map(len, rare)], dtype=np.int32), pa.array(np.concatenate(rare))),
-                    ],
-                    schema=schema,
-                )
+            for start in range(0, len(batch), 1000):
+                part = batch.slice(start, 1000)
+                sets = [(k, w) for k, *texts in zip(*(c.to_pylist() for c in part.columns)) if (w := _words(texts))]
+                if sets:
+                    digest, bitmap, sig = signer.sign([w for _, w in sets])
+                    columns = [pa.array([k for k, _ in sets], pa.int64()), *(pa.array(x) for x in (digest[:, 0], digest[:, 1], bitmap[:, 0], bitmap[:, 1])), pa.array([s.tobytes() for s in sig], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return run
 
 
 def _neighbours(similarity: float):
-    """Pairs of rows of one region whose sizes and bitmaps allow the similarity; rows come sorted by region."""
+    """Pairs of records of one region whose sizes and bitmaps allow the similarity; rows come sorted by region."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    share = (1 - similarity) / (1 + similarity)  # sets differ in so many of the words of both at most
-
-    def compare(region: np.ndarray, cid: np.ndarray, size: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
-        left, right = [], []
-        step, live = 1, np.arange(len(region))
-        while True:
-            live = live[: np.searchsorted(live, len(region) - step)]
-            live = live[region[live] == region[live + step]]
-            if not len(live):
-                break
-            far = np.maximum(np.bitwise_count(bits[live] ^ bits[live + step]).sum(axis=1, dtype=np.int32), np.abs(size[live] - size[live + step]))
-            same = live[far <= (size[live] + size[live + step]) * share + 1e-6]
-            left.append(cid[same])
-            right.append(cid[same + step])
-            step += 1
-        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
-        least, most = np.minimum(a, b), np.maximum(a, b)
-        pairs = np.unique(np.stack([least, most], 1)[least != most], axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
+    share = (1 - similarity) / (1 + similarity)  # of the words of both, so many at most are in one set only
+    low = np.uint64((1 << 48) - 1)
+
+    def compare(cid: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> np.ndarray:
+        size = (s2 >> np.uint64(48)).astype(np.int64)
+        open_size = np.where(size >= 0xFFFF, np.int64(1) << 40, size)  # sizes beyond 16 bits rule nothing out
+        order = np.argsort(open_size, kind="stable")
+        cid, size, s1, s2 = cid[order], open_size[order], s1[order], s2[order] & low
+        last = np.searchsorted(size, np.floor(size / similarity + 1e-6), side="right")
+        last[size >= 1 << 40] = len(cid)
+        if size[-1] >= 1 << 40:
+            last[:] = np.where(size / similarity >= 0xFFFF, len(cid), last)
+        out = []
+        for lo in range(0, len(cid) - 1, 64):
+            hi = min(lo + 64, len(cid))
+            top = int(last[lo:hi].max())
+            for at in range(lo, top, 2048):
+                to = min(at + 2048, top)
+                most = (size[lo:hi] + size[to - 1]) * share + 1e-6
+                if most.max() < 64:
+                    i, j = np.nonzero(np.bitwise_count(s1[lo:hi, None] ^ s1[None, at:to]) <= most.astype(np.uint8)[:, None])
+                else:
+                    i, j = (x.ravel() for x in np.indices((hi - lo, to - at)))
+                i, j = i + lo, j + at
+                keep = j > i
+                i, j = i[keep], j[keep]
+                far = np.bitwise_count(s1[i] ^ s1[j]) + np.bitwise_count(s2[i] ^ s2[j]).astype(np.int64)
+                fits = (far <= (size[i] + size[j]) * share + 1e-6) & (cid[i] != cid[j])
+                out.append(np.stack([cid[i[fits]], cid[j[fits]]], 1))
+        return np.concatenate(out) if out else np.empty((0, 2), np.int64)
+
+    def pairs(region: np.ndarray, cid: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> pa.RecordBatch:
+        edges = np.flatnonzero(np.diff(region)) + 1
+        starts, ends = np.concatenate(([0], edges)), np.concatenate((edges, [len(region)]))
+        found = [compare(cid[a:b], s1[a:b], s2[a:b]) for a, b in zip(starts, ends) if b - a > 1]
+        both = np.concatenate(found) if found else np.empty((0, 2), np.int64)
+        both = np.unique(np.sort(both, axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
             if not len(batch):
                 continue
-            region, cid, size = (np.asarray(batch.column(i)) for i in range(3))
-            bits = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(len(batch), BITS // 64)
+            rows = [np.asarray(batch.column(i)) for i in range(4)]
+            rows[2:] = [x.view(np.uint64) for x in rows[2:]]
             if rest is not None:
-                region, cid, size, bits = (np.concatenate(x) for x in zip(rest, (region, cid, size, bits)))
-            end = int(np.searchsorted(region, region[-1]))  # the last region may go on in the next batch
+                rows = [np.concatenate(x) for x in zip(rest, rows)]
+            end = int(np.searchsorted(rows[0], rows[0][-1]))  # the last region may go on in the next batch
             if end:
-                yield compare(region[:end], cid[:end], size[:end], bits[:end])
-            rest = region[end:], cid[end:], size[end:], bits[end:]
+                yield pairs(*(x[:end] for x in rows))
+            rest = [x[end:] for x in rows]
         if rest is not None:
-            yield compare(*rest)
+            yield pairs(*rest)
 
     return run
 
 
-def _large(keyed: DataFrame, most: int) -> DataFrame:
-    return cut(keyed.groupBy("region").agg(F.count("*").alias("n")).where(F.col("n") > most), "large")
-
-
-def _rare_regions(signed: DataFrame) -> DataFrame:
-    """(region, cid, size, bits): any two similar records meet in a region of the rarest words they share, the first up to LEVELS of them."""
-    shown = ["region", "cid", "size", "bits"]
-    out: DataFrame | None = None
-    rest = signed.withColumns({"region": F.lit(0).cast("long"), "at": F.lit(0)})
-    for level in range(1, LEVELS + 1):
-        # "at" words are passed; the level-th common word of a similar pair is among the first size - need + level
-        keyed = rest.select("region", "cid", "size", "need", "bits", "at", F.posexplode(F.slice("rare", F.col("at") + 1, F.col("size") - F.col("need") + level - F.col("at"))))
-        keyed = keyed.select(F.xxhash64("region", "col").alias("region"), "cid", "size", "need", "bits", (F.col("at") + F.col("pos") + 1).alias("at"))
-        large = _large(keyed, HOT)
-        part = keyed.join(large, "region", "left_anti").select(shown)
-        out = part if out is None else out.unionByName(part)
-        hot = keyed.join(large, "region")
-        # every two chunks of about HOT records meet in a region of their own: at the last level all, before it those that may share no further word
-        chunks = (hot if level == LEVELS else hot.where(F.col("need") <= level)).withColumn("chunks", F.ceil(F.col("n") / HOT).cast("int"))
-        met = chunks.withColumn("mine", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        out = out.unionByName(met.withColumn("region", F.xxhash64("region", F.least("mine", "other"), F.greatest("mine", "other"))).select(shown))
-        if level < LEVELS:
-            rest = hot.select("region", "cid", "at").join(signed.select("cid", "size", "need", "bits", "rare"), "cid")
+def _hash_at(position: Column) -> Column:
+    return F.col("sig").substr(position * 2 + 1, F.lit(2))
+
+
+def _deeper(rows: DataFrame, reps: DataFrame, branches: int, positions: int) -> DataFrame:
+    """(parent, n, region, cid, s1, s2): rows (region, n, cid) of large regions in the regions of their deeper orders."""
+    met = rows.withColumnsRenamed({"region": "parent"}).join(reps, "cid")
+
+    def child(branch: Column) -> Column:
+        # which positions come next is told by the region and the branch alone, so all records of a region read the same ones
+        read = [F.pmod(F.xxhash64("parent", branch, F.lit(k)), F.lit(positions)).cast("int") for k in range(2)]
+        return F.xxhash64("parent", branch, _hash_at(read[0]), _hash_at(read[1]))
+
+    return met.select("parent", "n", F.explode(F.transform(F.sequence(F.lit(0), F.lit(branches - 1)), child)).alias("region"), "cid", "s1", "s2")
+
+
+def _blocks(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """Rows (region, n, cid) dealt into chunks of about HOT records; every two chunks meet in a region of their own."""
+    chunks = F.ceil(F.col("n") / HOT).cast("int")
+    dealt = rows.select("region", "cid", chunks.alias("chunks"), F.pmod(F.xxhash64("cid", F.lit(3)), chunks).cast("int").alias("mine"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return met.select(F.xxhash64("region", F.least("mine", "other"), F.greatest("mine", "other")).alias("region"), "cid").join(reps.select("cid", "s1", "s2"), "cid").select("region", "cid", "s1", "s2")
+
+
+def _regions(reps: DataFrame, orders: int, branches: int) -> DataFrame:
+    """(region, cid, s1, s2): every record in each region in which its pairs are to be compared, none of them of many more than HOT records."""
+    # an order's number and its first hashes, as they stand in the signature, are the key: equal keys are runs of the sorted order
+    first = F.array(*[F.conv(F.hex(F.concat(F.lit(bytes([0, o % 128])), F.substring("sig", 1 + 6 * o, 6))), 16, 10).cast("long") for o in range(orders)])
+    keyed = reps.select(F.explode(first).alias("region"), "cid", "s1", "s2")
+    large = cut(keyed.groupBy("region").agg(F.count("*").alias("n")).where(F.col("n") > HOT), "large")
+    out = keyed.join(large, "region", "left_anti")
+    rows = cut(keyed.select("region", "cid").join(large, "region"), "frontier")
+    while not rows.isEmpty():
+        kids = cut(_deeper(rows, reps, branches, orders * DEPTH), "deeper")
+        sizes = cut(kids.groupBy("parent", "n", "region").agg(F.count("*").alias("m")), "sizes")
+        work = sizes.groupBy("parent", "n").agg(F.sum(F.col("m") * (F.col("m") - 1.0)).alias("work"))
+        alike = cut(work.where(F.col("work") > 0.5 * F.col("n") * (F.col("n") - 1.0)).select("parent"), "alike")
+        out = out.unionByName(_blocks(rows.join(alike.withColumnRenamed("parent", "region"), "region", "left_semi"), reps))
+        good = kids.join(alike, "parent", "left_anti")
+        large = sizes.where(F.col("m") > HOT).join(alike, "parent", "left_anti").select("region", F.col("m").alias("n"))
+        out = out.unionByName(good.select("region", "cid", "s1", "s2").join(large, "region", "left_anti"))
+        rows = cut(good.select("region", "cid").join(large, "region"), "frontier")
     return out
 
 
-def _regions(signed: DataFrame) -> DataFrame:
-    """(region, cid, size, bits): every record in its small regions of the forest, and all of large ones in those of their rare words."""
-    keyed = signed.select(F.explode("regions").alias("region"), "cid", "size", "bits")
-    large = _large(keyed, REGION)
-    crowded = keyed.join(large, "region", "left_semi").select("cid").distinct()
-    crowded = cut(signed.join(crowded, "cid", "left_semi").select("cid", "size", "need", "bits", "rare"), "crowded")
-    return keyed.join(large, "region", "left_anti").unionByName(_rare_regions(crowded))
-
-
-def _counts(classes: DataFrame) -> np.ndarray:
-    """How many words fall on each of BUCKETS buckets."""
-    seen = classes.select(F.explode("words").alias("w")).groupBy(F.col("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).agg(F.count("*").alias("k")).toArrow()
-    out = np.zeros(BUCKETS, np.int64)
-    out[np.asarray(seen.column("b"))] = np.asarray(seen.column("k"))
-    return out
-
-
-def word_classes(records: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """(id, cid, words): records with the same set of words share cid, the least id of them. Written; records without words are left out."""
-    sets = records.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), words(*columns).alias("words")).where(F.size("words") > 0)
-    sets = cut(sets.select("id", F.transform("words", lambda w: F.xxhash64(w)).alias("words"), F.unhex(F.md5(F.concat_ws(" ", "words"))).alias("form")), "sets")
-    least = sets.groupBy("form").agg(F.min("id").alias("cid"))
-    return cut(sets.join(least, "form").select("id", "cid", "words"), "classes")
-
-
-def class_pairs(classes: DataFrame, similarity: float, trees: int = TREES, seed: int = 7) -> DataFrame:
-    """(a, b): pairs of classes whose word sets have Jaccard similarity >= similarity, a < b. Written."""
-    single = classes.where("id = cid").select("cid", "words")
-    signer = _signer(trees, seed, _counts(single), similarity)
-    signed = cut(single.mapInArrow(signer, "cid long, size int, need int, bits binary, regions array<long>, rare array<long>"), "signed")
-    routed = _regions(signed).repartition("region").sortWithinPartitions("region")
-    pairs = cut(routed.mapInArrow(_neighbours(similarity), "a long, b long").distinct(), "candidates")
-    left, right = single.select(F.col("cid").alias("a"), F.col("words").alias("wa")), single.select(F.col("cid").alias("b"), F.col("words").alias("wb"))
-    common = F.size(F.array_intersect("wa", "wb"))
-    near = pairs.join(left, "a").join(right, "b").withColumn("common", common)
-    return cut(near.where(F.col("common") >= similarity * (F.size("wa") + F.size("wb") - F.col("common"))).select("a", "b"), "pairs")
+def _source(records: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    return records.select(F.col(key).cast("long").alias("id"), *[F.col(c).cast("string").alias(f"t{i}") for i, c in enumerate(columns)]).where("id is not null")
+
+
+class Classes:
+    """Records with the same set of words as one class: members (id, cid) with cid the least id of the class, sizes (cid, n) of the
+    classes of several records, and reps (cid, s1, s2, sig). Written; records without words are left out."""
+
+    def __init__(self, records: DataFrame, key: str, columns: list[str], similarity: float, seed: int = 7) -> None:
+        ship(records.sparkSession)
+        self.similarity, self.source = similarity, _source(records, key, columns)
+        self.orders, self.branches = orders_for(similarity), branches_for(similarity)
+        signed = cut(self.source.mapInArrow(_signing(self.orders * DEPTH, seed), _SIGNED), "signed")
+        forms = signed.groupBy("form1", "form2").agg(F.min("id").alias("cid"), F.count("*").alias("n")).where("n > 1")
+        forms = cut(forms, "forms")
+        copies = join_counted(signed.select("id", "form1", "form2"), forms, ["form1", "form2"])
+        copies = cut(copies.where("id <> cid").select("id", "cid").distinct(), "copies")
+        self.sizes = copies.groupBy("cid").agg((F.count("*") + 1).alias("n"))
+        self.copies = copies
+        others = copies.select("id")
+        self.reps = signed.join(others, "id", "left_anti").select(F.col("id").alias("cid"), "s1", "s2", "sig")
+        self.members = signed.select("id").join(others, "id", "left_anti").select("id", F.col("id").alias("cid")).unionByName(copies)
+
+    def pairs(self) -> DataFrame:
+        """(a, b): pairs of classes whose word sets have the similarity or more, a < b. Written."""
+        routed = _regions(self.reps, self.orders, self.branches).repartition("region").sortWithinPartitions("region")
+        near = cut(routed.mapInArrow(_neighbours(self.similarity), "a long, b long").distinct(), "candidates")
+        wanted = cut(near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), "wanted")
+        words = cut(self.source.join(wanted, "id", "left_semi").mapInArrow(_hashed_words, "id long, words array<long>"), "words")
+        left, right = words.select(F.col("id").alias("a"), F.col("words").alias("wa")), words.select(F.col("id").alias("b"), F.col("words").alias("wb"))
+        met = near.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("wa", "wb")))
+        exact = met.where(F.col("common") >= self.similarity * (F.size("wa") + F.size("wb") - F.col("common")) - 1e-9)
+        return cut(exact.select("a", "b").distinct(), "pairs")
+
+
+def _hashed_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("id", pa.int64()), ("words", pa.list_(pa.int64()))])
+    for batch in batches:
+        for start in range(0, len(batch), 1000):
+            part = batch.slice(start, 1000)
+            hashes = [np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in _words(t)], np.uint64).view(np.int64) for t in zip(*(c.to_pylist() for c in part.columns[1:]))]
+            offsets = np.cumsum([0, *map(len, hashes)], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(hashes)))], schema=schema)
+
+
+def _expanded(pairs: DataFrame, side: str, copies: DataFrame, sizes: DataFrame) -> DataFrame:
+    """pairs with side replaced by each member of its class. Classes of several records are met chunk by chunk, so that
+    no task gets a whole one."""
+    chunks = F.ceil(F.col("n") / HOT).cast("int")
+    deal = lambda x: F.pmod(F.xxhash64(x), chunks).cast("int")
+    own = copies.join(sizes, "cid").select(F.col("cid").alias(side), F.col("id").alias("member"), deal("id").alias("chunk"))
+    asked = pairs.join(sizes.select(F.col("cid").alias(side), "n"), side).withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1))).drop("n")
+    return pairs.unionByName(asked.join(own, [side, "chunk"]).drop(side, "chunk").withColumnRenamed("member", side).select(*pairs.columns))
 
 
 def near_pairs(records: DataFrame, key: str, columns: list[str], similarity: float = 0.75) -> DataFrame:
     """(id_a, id_b): all pairs of records whose words over the columns have similarity or more, the smaller key first.
 
-    The words of all columns together are one set for each record; null columns count as empty, records without any word pair
-    with nothing, records with equal sets pair with each other. Null keys take no part; a key that is repeated never pairs
-    with itself. Whole texts are used. An empty table gives no rows.
+    The words (runs of letters, digits and '_', in lower case) of all columns together are one set for each record; null columns count as
+    empty, records without any word pair with nothing, records with equal sets pair with each other. Null keys take no part; a
+    repeated key stands for each of its rows but never pairs with itself. Whole texts are used. An empty table gives no rows.
+    A pair exactly at the similarity is lost with probability MISS, one more similar much more seldom.
     """
-    classes = word_classes(records, key, columns)
-    pairs = class_pairs(classes, similarity)
-    members = classes.select("id", "cid")
-    x, y = members.select(F.col("id").alias("ia"), F.col("cid").alias("a")), members.select(F.col("id").alias("ib"), F.col("cid").alias("b"))
-    across = pairs.join(x, "a").join(y, "b").select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"))
-    within = x.join(y, F.col("a") == F.col("b")).where("ia < ib").select(F.col("ia").alias("id_a"), F.col("ib").alias("id_b"))
-    return across.unionByName(within).distinct()
+    classes = Classes(records, key, columns, similarity)
+    sizes, copies = cut(classes.sizes, "class-sizes"), classes.copies
+    across = _expanded(_expanded(classes.pairs(), "a", copies, sizes), "b", copies, sizes)
+    across = across.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))
+    # within a class, its least key with each copy, and every two copies: a star expanded on its middle
+    star = copies.select(F.col("cid").alias("a"), F.col("id").alias("b"))
+    within = _expanded(star, "a", copies, sizes).where("a < b").select(F.col("a").alias("id_a"), F.col("b").alias("id_b"))
+    return across.unionByName(within).where("id_a < id_b").distinct()
 
 
 def near_groups(records: DataFrame, key: str, columns: list[str], similarity: float = 0.75) -> DataFrame:
     """(key, class_id, group_id, links): one row for each record with words: the class of records with its very word set, the group of
     classes joined by near pairs (its least key), and the number of other classes near its own."""
-    classes = word_classes(records, key, columns)
-    pairs = class_pairs(classes, similarity)
+    classes = Classes(records, key, columns, similarity)
+    pairs = classes.pairs()
     groups = components(pairs, "a", "b").select(F.col("node").alias("cid"), F.col("component").alias("g"))
     links = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).groupBy("cid").agg(F.count("*").alias("links"))
-    met = classes.select("id", "cid").join(groups, "cid", "left").join(links, "cid", "left")
-    return met.select(F.col("id").alias(key), F.col("cid").alias("class_id"), F.coalesce("g", "cid").alias("group_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    linked = links.join(groups, "cid")
+    # single records have a class of their own, so only copies of records can gather on one key
+    own = classes.reps.select("cid").join(linked, "cid", "left").select(F.col("cid").alias("id"), F.col("cid").alias("class_id"), F.coalesce("g", "cid").alias("group_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    known = own.select(F.col("class_id").alias("cid"), "group_id", "links").join(classes.sizes, "cid")
+    met = join_counted(classes.copies, cut(known, "known"), ["cid"]).select("id", F.col("cid").alias("class_id"), "group_id", "links")
+    return own.unionByName(met).select(F.col("id").alias(key), "class_id", "group_id", "links")

@@ -1,4 +1,4 @@
-"""Running totals over hash order without sorting all rows in one task."""
+"""Running totals over hash order, and joins on hot keys, without one task that gets them all."""
 
 from __future__ import annotations
 
@@ -26,3 +26,17 @@ def running_total(df: DataFrame, group: list[str], unit: str, tie: str, size: st
     met = dealt.alias("x").join(start.alias("y"), [*keys, F.col("x.slot") == F.col("y.slot")]).select("x.*", "y.slot_start")
     inner = Window.partitionBy(*group, "slot").orderBy(unit, tie).rowsBetween(Window.unboundedPreceding, -1)
     return met.withColumn("before", F.col("slot_start") + F.coalesce(F.sum(size).over(inner), F.lit(0))).drop("slot", "slot_start")
+
+
+def join_counted(rows: DataFrame, groups: DataFrame, keys: list[str], most: int = 10_000) -> DataFrame:
+    """rows joined with groups, which has one row for each of its keys and n, about how many of rows have that key.
+
+    Keys that hold over one in most of the counted rows, so fewer than most keys, are joined by broadcast: no task gets all rows of a
+    hot key. The others meet by a shuffle, or as the planner finds best. Null keys meet nothing.
+    """
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    limit = max(100_000, total // most)
+    hot = groups.where(F.col("n") > limit)
+    if hot.isEmpty():
+        return rows.join(groups, keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(groups.where(F.col("n") <= limit), keys))

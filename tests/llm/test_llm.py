@@ -193,12 +193,41 @@ def test_near_pairs(spark):
     assert all(groups[k] == v for k, v in want.items())
 
 
-def test_near_pairs_beyond_the_last_depth(spark):
-    """A region of more variants than fit, all with the same long signature: compared block by block, no link lost."""
+def all_pairs(spark, rows, similarity=0.75):
+    return {tuple(r) for r in forest.near_pairs(spark.createDataFrame(rows, "record_id long, question string"), "record_id", ["question"], similarity).collect()}
+
+
+@pytest.mark.parametrize("hot", [4096, 100])
+def test_near_pairs_of_one_dense_region(spark, monkeypatch, hot):
+    """600 records of 60 common and 10 own words: all 179,700 pairs are exactly at 0.75, in small regions and where every region is large."""
+    monkeypatch.setattr(forest, "HOT", hot)
+    common = " ".join(f"c{i}" for i in range(60))
+    got = all_pairs(spark, [(i, common + "".join(f" o{i}x{k}" for k in range(10))) for i in range(600)])
+    assert len(got) >= 0.9999 * 600 * 599 / 2
+
+
+def test_near_pairs_of_regions_that_are_alike(spark, monkeypatch):
+    """Deeper orders don't part records with all but one word in common: they are compared block by block, no link lost."""
+    monkeypatch.setattr(forest, "HOT", 20)
     base = [f"b{i}" for i in range(300)]
-    rows = [(i, " ".join([*base, f"v{i}"])) for i in range(90)]
-    df = spark.createDataFrame(rows, "record_id long, question string")
-    assert forest.near_pairs(df, "record_id", ["question"]).count() == 90 * 89 // 2
+    assert len(all_pairs(spark, [(i, " ".join([*base, f"v{i}"])) for i in range(90)])) == 90 * 89 // 2
+
+
+@pytest.mark.parametrize("hot", [4096, 60])
+def test_near_pairs_in_a_pattern(spark, monkeypatch, hot):
+    """Families within a pattern of question whose records share half of their words: large regions are followed deeper, where each family stays together."""
+    monkeypatch.setattr(forest, "HOT", hot)
+    rng = random.Random(12)
+    frame, rows = [f"f{i}" for i in range(25)], []
+    for family in range(150):
+        own = [f"w{family}x{k}" for k in range(15)]
+        for _ in range(4):
+            edited = own[:]
+            for k in rng.sample(range(15), 2):
+                edited[k] = f"e{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(frame + edited)))
+    truth = near_truth(rows)
+    assert len(truth) > 500 and all_pairs(spark, rows) == truth
 
 
 def test_near_pairs_in_a_family_of_many_edits(spark):
@@ -216,16 +245,23 @@ def test_near_pairs_in_a_family_of_many_edits(spark):
 
 
 @pytest.mark.parametrize("similarity", [0.75, 0.5])
-def test_near_pairs_when_rare_words_are_hot(spark, monkeypatch, similarity):
-    """Every region is split word by word and then in blocks; sets of a few words run out of words to be split by."""
-    monkeypatch.setattr(forest, "REGION", 1)
+def test_near_pairs_of_small_sets_in_hot_regions(spark, monkeypatch, similarity):
     monkeypatch.setattr(forest, "HOT", 3)
     rng = random.Random(6)
     rows = [(i, " ".join(rng.sample("abcdefgh", rng.choice([1, 2, 3, 4, 6])))) for i in range(60)]
     sets = {k: set(x.split()) for k, x in rows}
     truth = {(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])}
-    got = {tuple(r) for r in forest.near_pairs(spark.createDataFrame(rows, "record_id long, question string"), "record_id", ["question"], similarity).collect()}
-    assert got == truth
+    assert all_pairs(spark, rows, similarity) == truth
+
+
+def test_bitmaps_never_rule_out_a_similar_pair(spark):
+    """Long, short and very unequal sets; sizes beyond the 16 bits kept for them."""
+    rng = random.Random(13)
+    for n in (3, 40, 400, 70_000):
+        words = [f"w{i}" for i in range(n)]
+        other = words[: n - n // 8] + [f"v{i}" for i in range(n // 8)]
+        rows = [(0, " ".join(words)), (1, " ".join(rng.sample(other, len(other)))), (2, " ".join(words[: -(-3 * n // 4)])), (3, "none of these")]
+        assert all_pairs(spark, rows) == near_truth(rows) and len(near_truth(rows)) >= 2
 
 
 def test_near_pairs_of_long_and_hot_texts(spark):

@@ -73,6 +73,10 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def p8_shards(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))[2]
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return pii.found(table(spark, d, "documents"), table(spark, d, "name_lexicon"))
 
@@ -82,7 +86,7 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    names = [p1_found, p1_labels, p2_found, p2_splits, p3_sample, p4_found, p4_groups, p5_found, p5_sample, p5_report, p6_found, p6_collapsed, p7_ids, p8_mix, p8_report, p9_found, p9_redacted]
+    names = [p1_found, p1_labels, p2_found, p2_splits, p3_sample, p4_found, p4_groups, p5_found, p5_sample, p5_report, p6_found, p6_collapsed, p7_ids, p8_mix, p8_report, p8_shards, p9_found, p9_redacted]
     return {f.__name__: f for f in names}
 
 
@@ -106,11 +110,10 @@ v AS (SELECT DISTINCT db_id, name FROM k)
 SELECT a.db_id AS db_id_a, b.db_id AS db_id_b FROM v a JOIN reach r ON a.name = r.x JOIN v b ON r.y = b.name WHERE a.db_id < b.db_id
 """,
         "p3_sample": f"""
-WITH q AS (SELECT question_id, arg_min({_LEVEL}, (loaded_at IS NULL, coalesce(loaded_at, TIMESTAMP '1970-01-01'), record_id)) AS stratum
-FROM dev_tied_append WHERE question_id IS NOT NULL GROUP BY question_id)
-SELECT question_id, stratum FROM q
-WHERE ('0x' || substr(md5('sample-1:' || question_id), 1, 13))::BIGINT / 4503599627370496.0
- < CASE stratum WHEN 'simple' THEN 0.1 WHEN 'moderate' THEN 0.15 WHEN 'challenging' THEN 0.25 WHEN 'unknown' THEN 0.2 ELSE 0.1 END
+WITH u AS (SELECT DISTINCT question_id, {_LEVEL} AS stratum FROM dev_tied_append WHERE question_id IS NOT NULL),
+r AS (SELECT *, CASE stratum WHEN 'simple' THEN 0.1 WHEN 'moderate' THEN 0.15 WHEN 'challenging' THEN 0.25 WHEN 'unknown' THEN 0.2 ELSE 0.1 END AS rate FROM u)
+SELECT question_id, stratum FROM r WHERE ('0x' || substr(md5('sample-1:' || question_id), 1, 13))::BIGINT / 4503599627370496.0 < rate
+QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY rate DESC, stratum) = 1
 """,
         "p4_found": r"""
 WITH s AS (SELECT record_id, list_distinct(regexp_extract_all(lower(concat_ws(' ', question, evidence, sql_text)), '[\pL\pN_]+')) AS w FROM dev_tied_append),
@@ -122,6 +125,4 @@ v AS (SELECT a, b, len(list_intersect(m.w, n.w)) AS k, len(m.w) AS ka, len(n.w)
 SELECT a AS record_id_a, b AS record_id_b FROM v WHERE k >= 0.75 * (ka + kb - k)
 """,
         "p5_found": unmet + "SELECT DISTINCT db_id, difficulty FROM t WHERE need > available",
-        "p5_report": unmet
-        + "SELECT target_no, db_id, difficulty, available, need::BIGINT AS need, least(available, need)::BIGINT AS quota, greatest(0, need - available)::BIGINT AS deficit FROM t",
     }

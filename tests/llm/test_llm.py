@@ -151,13 +151,33 @@ def test_stable_sample(spark):
     df = clashing(spark.createDataFrame(rows, "record_id long, question_id long, difficulty string, loaded string").withColumn("loaded_at", F.to_timestamp("loaded")))
     whole = {tuple(r) for r in stable.stable_sample(df).collect()}
     assert whole == {tuple(r) for r in stable.stable_sample(df.orderBy(F.rand(3)).repartition(9)).collect()}
-    early = {tuple(r) for r in stable.stable_sample(df.where("loaded_at < '2024-01-15'")).collect()}
-    assert early and early <= whole and len({q for q, _ in whole}) == len(whole)
+    early = {r["question_id"] for r in stable.stable_sample(df.where("loaded_at < '2024-01-15'")).collect()}
+    assert early and early <= {q for q, _ in whole} and len({q for q, _ in whole}) == len(whole)
     raised = {r["question_id"] for r in stable.stable_sample(df, {k: min(1.0, v * 2) for k, v in stable.RATES.items()}).collect()}
     assert {q for q, _ in whole} <= raised
     assert stable.stable_sample(df.limit(0)).count() == 0
 
 
+def test_stable_sample_keeps_members_of_any_stratum(spark):
+    """First records without loaded_at, later ones with lower record_ids or other strata: no member is dropped."""
+    rng = random.Random(4)
+    levels = ["simple", "moderate", "challenging", "unknown", "rare", None]
+    first = [(1000 + q, q, rng.choice(levels)) for q in range(1000)]
+    later = [(q, q, rng.choice(levels)) for q in range(0, 1000, 2)]
+    schema = "record_id long, question_id long, difficulty string"
+    before, after = ({r["question_id"] for r in stable.stable_sample(spark.createDataFrame(x, schema)).collect()} for x in (first, first + later))
+    assert before and before <= after and len(after) > len(before)
+
+
+def test_rates_are_only_raised(spark, tmp_path):
+    df, folder = spark.range(1), str(tmp_path / "rates")
+    assert stable.stored_rates(df, folder, {"simple": 0.1, "hard": 0.2}) == {"simple": 0.1, "hard": 0.2}
+    assert stable.stored_rates(df, folder, {"simple": 0.3}) == {"simple": 0.3, "hard": 0.2}
+    with pytest.raises(ValueError):
+        stable.stored_rates(df, folder, {"simple": 0.4, "hard": 0.1})
+    assert stable.stored_rates(df, folder, {}) == {"simple": 0.3, "hard": 0.2} and stable.stored_rates(df, folder, {"hard": 0.1}, salt="other") == {"hard": 0.1}
+
+
 # --- 4: near-duplicates --------------------------------------------------------------------------------------------------
 
 
@@ -275,46 +295,75 @@ def test_near_pairs_of_long_and_hot_texts(spark):
 # --- 5: target proportions ------------------------------------------------------------------------------------------------
 
 
+LEVEL = lambda v: (v or "").strip().lower() or "unknown"
+TARGETS = "target_no int, db_id string, difficulty string, share_per_10000 int, min_rows int, sample_size int"
+
+
 def test_quota_sample(spark):
     rng = random.Random(8)
-    rows = [(i, rng.randrange(4000), rng.choice("aaaabc"), rng.choice(["simple", " Simple ", "hard", None, ""])) for i in range(6000)] + [(9999, None, "a", "simple")]
+    rows = [(i, rng.randrange(4000), rng.choice("aaaabc"), rng.choice(["simple", " Simple ", "hard", None, ""])) for i in range(6000)] + [(9999, None, "a", "simple"), (10_000, 77, None, "hard")]
     df = clashing(spark.createDataFrame(rows, "record_id long, question_id long, db_id string, difficulty string"))
     targets = spark.createDataFrame(
-        [(1, "a", "simple", 5000, 3, 333), (2, "a", "hard", 1000, 90, 333), (3, "b", "unknown", 1000, 0, 333), (4, "c", "hard", 3000, 9000, 333), (5, "z", "hard", 0, 2, 333)],
-        "target_no int, db_id string, difficulty string, share_per_10000 int, min_rows int, sample_size int",
+        [(1, "a", "simple", 5000, 3, 333), (2, "a", "hard", 1000, 90, 333), (3, "b", "unknown", 1000, 0, 333), (4, "c", "hard", 3000, 9000, 333), (5, "z", "hard", 0, 2, 333), (6, None, "hard", 0, 1, 333)], TARGETS
     )
-    level = lambda v: (v or "").strip().lower() or "unknown"
     have = {}
     for _, q, d, v in rows:
         if q is not None:
-            have.setdefault((d, level(v)), set()).add(q)
+            have.setdefault((d, LEVEL(v)), set()).add(q)
     need = {(r["db_id"], r["difficulty"]): max(r["min_rows"], -(-r["share_per_10000"] * r["sample_size"] // 10000)) for r in targets.collect()}
-    assert {tuple(r) for r in quota.unmet_targets(df, targets).collect()} == {k for k, n in need.items() if n > len(have.get(k, ()))} == {("c", "hard"), ("z", "hard")}
+    unmet = {k for k, n in need.items() if n > len(have.get(k, ()))}
+    assert {tuple(r) for r in quota.unmet_in_sample(df, targets).collect()} == unmet == {("c", "hard"), ("z", "hard")}
     got = [tuple(r) for r in quota.quota_sample(df, targets).collect()]
-    assert len(got) == len(set(got)) and all(q in have[d, v] for q, d, v in got)
-    count = {}
-    for _, d, v in got:
-        count[d, v] = count.get((d, v), 0) + 1
-    assert count == {k: min(n, len(have.get(k, ()))) for k, n in need.items() if have.get(k)}
-    assert sorted(got) == sorted(tuple(r) for r in quota.quota_sample(df.repartition(11), targets).collect())
-    assert quota.quota_sample(df.limit(0), targets).count() == 0 and quota.unmet_targets(df.limit(0), targets).count() == 5
+    assert len(got) == 333 == len({q for q, _, _ in got}) and all(q in have[d, v] for q, d, v in got)
+    assert sorted(map(str, got)) == sorted(str(tuple(r)) for r in quota.quota_sample(df.repartition(11), targets).collect())
+    report = {(r["db_id"], r["difficulty"]): r for r in quota.quota_report(df, targets).collect()}
+    assert all(r["drawn"] == sum((d, v) == k for _, d, v in got) and r["deficit"] == max(0, need[k] - len(have.get(k, ()))) for k, r in report.items())
+    assert quota.quota_sample(df.limit(0), targets).count() == 0 and quota.unmet_in_sample(df.limit(0), targets).count() == 6
+    assert quota.quota_sample(df, targets.limit(0)).count() == 0 and quota.unmet_in_sample(df, targets.limit(0)).count() == 0
+
+
+def test_quota_shares(spark):
+    """Minima are kept, the rest follows the shares, and no question is drawn twice though many have several categories."""
+    rows = [(i, i % 5000, "abcd"[(i // 5000 + i) % 4], "simple") for i in range(10_000)] + [(20_000 + i, 6000 + i, "e", "simple") for i in range(30)]
+    df = spark.createDataFrame(rows, "record_id long, question_id long, db_id string, difficulty string")
+    targets = spark.createDataFrame([(1, "a", "simple", 4000, 0, 1000), (2, "b", "simple", 3000, 0, 1000), (3, "c", "simple", 2000, 0, 1000), (4, "d", "simple", 900, 0, 1000), (5, "e", "simple", 100, 25, 1000)], TARGETS)
+    got = quota.quota_sample(df, targets).collect()
+    count = {d: sum(r["db_id"] == d for r in got) for d in "abcde"}
+    assert len({r["question_id"] for r in got}) == 1000 and count["e"] == 25
+    assert all(abs(count[d] - 975 * s / 9900) <= 1 for d, s in zip("abcd", (4000, 3000, 2000, 900)))
+
+
+def test_apportion():
+    assert quota.apportion(10, [5000, 3000, 2000], [0, 0, 6], [100, 100, 100]) == [3, 1, 6] and quota.apportion(10, [9000, 0], [0, 0], [3, 100]) == [3, 7] and quota.apportion(5, [], [], []) == []
+    rng = random.Random(3)
+    for _ in range(500):
+        n, size = rng.randrange(1, 8), rng.randrange(120)
+        share, least, most = ([rng.randrange(top) for _ in range(n)] for top in (50, 10, 40))
+        got = quota.apportion(size, share, least, most)
+        assert sum(got) == min(size, sum(most)) and all(0 <= q <= m for q, m in zip(got, most))
+        if sum(map(min, least, most)) <= size:
+            assert all(q >= min(a, b) for q, a, b in zip(got, least, most))
+
 
+@pytest.mark.parametrize("slots", [4096, 3])
+def test_draw_is_exact(spark, slots):
+    """Whatever the slots; a category that the acceptance left short is filled up."""
+    units = spark.range(900).select(F.col("id").alias("question_id"), F.lit("a").alias("db_id"), (F.col("id") % 3).cast("string").alias("difficulty"))
+    plan = spark.createDataFrame([("a", "0", 300, 299), ("a", "1", 300, 1), ("a", "2", 300, 120)], "db_id string, difficulty string, available long, quota long")
+    got = quota.draw(units, plan, "s", slots).groupBy("difficulty").count().collect()
+    assert {r["difficulty"]: r["count"] for r in got} == {"0": 299, "1": 1, "2": 120}
 
-def test_p5_found_judges_the_sample(spark, tmp_path, monkeypatch):
+
+def test_p5_found_judges_the_draw(spark, tmp_path, monkeypatch):
     """The query's rows come from what was drawn; a category of two targets is drawn once, for the larger."""
     df = spark.createDataFrame([(i, i, "ab"[i % 2], "hard") for i in range(400)] + [(900, 900, None, "hard")], "record_id long, question_id long, db_id string, difficulty string")
-    targets = spark.createDataFrame(
-        [(1, "a", "hard", 0, 50, 9), (2, "a", "hard", 0, 120, 9), (3, "b", "hard", 0, 201, 9), (4, "b", "hard", 0, 7, 9), (5, None, "hard", 0, 2, 9), (6, "z", "easy", 0, 0, 9)],
-        "target_no int, db_id string, difficulty string, share_per_10000 int, min_rows int, sample_size int",
-    )
+    targets = spark.createDataFrame([(1, "a", "hard", 0, 50, 9), (2, "a", "hard", 0, 120, 9), (3, "b", "hard", 0, 201, 9), (4, "b", "hard", 0, 7, 9), (5, None, "hard", 0, 2, 9), (6, "z", "easy", 0, 0, 9)], TARGETS)
     df.write.parquet(str(tmp_path / "dev_tied_append.parquet"))
     targets.write.parquet(str(tmp_path / "sample_targets.parquet"))
-    sample = quota.quota_sample(df, targets)
-    assert sample.count() == sample.distinct().count()
-    assert {r["db_id"]: r["count"] for r in sample.groupBy("db_id").count().collect()} == {"a": 120, "b": 200, None: 1}
     found = lambda: {tuple(r) for r in queries.p5_found(spark, str(tmp_path)).collect()}
-    assert found() == {("b", "hard"), (None, "hard")} == {tuple(r) for r in quota.unmet_targets(df, targets).collect()}
-    monkeypatch.setattr(quota, "quota_sample", lambda *_: sample.where("db_id = 'b'"))
+    assert found() == {("b", "hard"), (None, "hard")}
+    plain = quota.draw
+    monkeypatch.setattr(quota, "draw", lambda *a: plain(*a).where("db_id = 'b'"))
     assert found() == {("a", "hard"), ("b", "hard"), (None, "hard")}
 
 
@@ -335,42 +384,52 @@ def test_forms(a, b, same):
     assert canonical.form_of((a, None)) is None and canonical.form_of((a, " ;. ")) is None
 
 
-@pytest.mark.parametrize("bucket_rows, hot", [(500_000, 100_000), (3, 20)])
-def test_copies(spark, monkeypatch, bucket_rows, hot):
+@pytest.mark.parametrize("bucket_rows, most_keys", [(None, 200_000), (3, 20)])
+def test_copies(spark, monkeypatch, bucket_rows, most_keys):
+    monkeypatch.setattr(canonical, "MOST_KEYS", most_keys)
     rng = random.Random(4)
     style = [str.upper, str.lower, lambda s: s.replace(" ", "\n"), lambda s: s + ";", lambda s: s]
     base = [f"SELECT a{i}, b FROM t{i} WHERE x = {i}" for i in range(60)]
-    rows = [(k, rng.choice(style)(rng.choice(base) if rng.random() < 0.6 else base[0]), "select 1") for k in range(600)] + [(700, None, "select 1"), (701, "?", "select 1"), (None, base[1], "select 1"), (5, None, None)]
+    rows = [(k, rng.choice(style)(rng.choice(base) if rng.random() < 0.6 else base[0]), "select 1") for k in range(600)] + [(700, None, "select 1"), (701, "?", "select 1"), (None, base[1], "select 1"), (5, None, None), (9, base[3], "select 1")]
     df = clashing(spark.createDataFrame(rows, "candidate_id long, pred_sql string, gold_sql string"))
-    forms = {}
+    forms, count = {}, {}
     for k, p, g in rows:
         if k is not None and (f := canonical.form_of((p, g))):
-            forms.setdefault(f, []).append(k)
+            forms.setdefault(f, set()).add(k)
+            count[f] = count.get(f, 0) + 1
     want = {(min(ks), k) for ks in forms.values() for k in ks if k != min(ks)}
-    groups = canonical.copy_groups
-    monkeypatch.setattr(canonical, "copy_groups", lambda *a: groups(*a, bucket_rows=bucket_rows))
-    assert {tuple(r) for r in canonical.copies_found(df, "candidate_id", ["pred_sql", "gold_sql"], hot_rows=hot).collect()} == want
-    assert {tuple(r) for r in canonical.collapsed(df, "candidate_id", ["pred_sql", "gold_sql"]).collect()} == {(min(ks), len(ks)) for ks in forms.values()}
-    assert canonical.copies_found(df.limit(0), "candidate_id", ["pred_sql", "gold_sql"]).count() == 0
+    columns = ["pred_sql", "gold_sql"]
+    assert {tuple(r) for r in canonical.copies_found(df, "candidate_id", columns, bucket_rows).collect()} == want
+    assert sorted(tuple(r) for r in canonical.collapsed(df, "candidate_id", columns, bucket_rows).collect()) == sorted((min(ks), count[f]) for f, ks in forms.items())
+    assert canonical.copies_found(df.limit(0), "candidate_id", columns).count() == 0 == canonical.collapsed(df.limit(0), "candidate_id", columns).count()
 
 
-def test_counting_trie():
+@pytest.mark.parametrize("burst", [256, 2])
+def test_counting_trie(monkeypatch, burst):
+    monkeypatch.setattr(canonical.CountingTrie, "BURST", burst)
     rng = random.Random(6)
-    keys = [bytes(rng.randrange(3) for _ in range(16)) for _ in range(3000)] + [bytes([7] * 16)] * 500
+    keys = [b"select a" + bytes(rng.randrange(3) for _ in range(rng.randrange(9))) for _ in range(3000)] + [b"select a" + bytes([7] * 16)] * 500 + [b"with", b"", b"sel", b"zebra"]
     trie, want = canonical.CountingTrie(), {}
     for i, k in enumerate(keys):
-        trie.add(k, i, 1)
+        terminal = trie.add(k, i, 1)
         want[k] = (min(want.get(k, (i, 0))[0], i), want.get(k, (0, 0))[1] + 1)
-    assert {k: (a, b) for k, a, b in trie.walk()} == want and trie.keys == len(want)
+        assert tuple(terminal) == want[k]
+    walked = [(k, (a, b)) for k, a, b in trie.walk()]
+    assert dict(walked) == want and len(walked) == len(want)
 
 
-def test_radix_plan(spark):
+def test_radix_buckets(spark):
+    """Buckets follow the bytes: a long common beginning is one round, forms that end early and forms delivered often stay whole."""
     rng = random.Random(6)
-    df = spark.createDataFrame([(bytearray([0, rng.randrange(2), rng.randrange(200), 9]),) for _ in range(2000)] + [(bytearray([5, 5, 5, 5]),)] * 300, "form binary")
-    plan = canonical.radix_plan(df, 100, 4)
-    rows = [bytes(r["form"]) for r in df.collect()]
-    assert all(sum(r.startswith(p) for p in plan) == 1 for r in rows)
-    assert all(sum(r.startswith(p) for r in rows) <= 100 or len(p) == 4 for p in plan)
+    forms = [b"select count from the same table where " + bytes([97 + rng.randrange(3), 97 + rng.randrange(26), 97 + rng.randrange(26), 97 + rng.randrange(26), 97 + rng.randrange(26)]) for _ in range(2000)] + [b"select", b"selected", b"with x", b"s"] + [b"hot"] * 300
+    df = spark.createDataFrame([(bytearray(f),) for f in forms], "form binary").repartition(7)
+    got = [(bytes(r["bucket"]), bytes(r["form"])) for r in canonical.radix_buckets(df, 100).collect()]
+    assert sorted(f for _, f in got) == sorted(forms) and all(f.startswith(b) for b, f in got)
+    buckets, home = {}, {}
+    for b, f in got:
+        buckets.setdefault(b, []).append(f)
+        assert home.setdefault(f, b) == b
+    assert all(len(fs) <= 100 or len(set(fs)) == 1 for fs in buckets.values()) and len(buckets) < 400
 
 
 # --- 7: encoding ------------------------------------------------------------------------------------------------------------
@@ -421,16 +480,35 @@ def test_mixing(spark):
     rows += [(9001, None, "big"), (9002, "", "mid"), (9003, "text", None), (9004, "text", "other"), (9005, "text", "?")]
     df = clashing(spark.createDataFrame(rows, "doc_id long, text string, source string"))
     targets = spark.createDataFrame([("big", 0.5, 1), ("small_one", 0.2, 4), ("mid", 0.25, 2), ("absent", 0.05, 3)], "source_name string, target_weight double, max_repeats int")
-    mix, report = mixing.mixed(df, targets)
+    mix, report, by_shard = mixing.mixed(df, targets)
     got = {r["source_name"]: r for r in report.collect()}
     assert got["absent"]["used_tokens"] == 0 and got["absent"]["missing_tokens"] > 0
     for s, w in (("big", 0.5), ("small_one", 0.2), ("mid", 0.25)):
         assert abs(got[s]["actual_share"] - w / 0.95) < 0.01 and got[s]["most_used"] <= got[s]["max_repeats"]
     used = mix.collect()
-    assert len({r["doc_id"] for r in used}) == len(used) and not {9001, 9002, 9003, 9004, 9005} & {r["doc_id"] for r in used}
+    assert len({(r["doc_id"], r["shard"]) for r in used}) == len(used) and not {9001, 9002, 9003, 9004, 9005} & {r["doc_id"] for r in used}
+    tokens, shard_tokens = {}, {}
+    for r in used:
+        tokens[r["source_name"]] = tokens.get(r["source_name"], 0) + r["n_tokens"] * r["copies"]
+        shard_tokens[r["source_name"], r["shard"]] = shard_tokens.get((r["source_name"], r["shard"]), 0) + r["n_tokens"] * r["copies"]
+    assert all(got[s]["used_tokens"] == n for s, n in tokens.items())
+    shards = by_shard.collect()
+    assert all(r["used_tokens"] == shard_tokens.get((r["source_name"], r["shard"]), 0) for r in shards) and len(shards) == 3 * 8
+    # a shard's tokens of a source are its quota but for what documents across block edges make up
+    assert all(abs(r["used_tokens"] - r["quota_tokens"]) <= 0.2 * r["quota_tokens"] + 60 for r in shards if r["source_name"] == "big")
     again = mixing.mixed(df.repartition(7), targets)[0].collect()
-    assert {(r["doc_id"], r["repeats"]) for r in again} == {(r["doc_id"], r["repeats"]) for r in used}
-    assert mixing.mixed(df.limit(0), targets)[0].count() == 0
+    assert {tuple(r) for r in again} == {tuple(r) for r in used}
+    assert all(x.count() == n for x, n in zip(mixing.mixed(df.limit(0), targets), (0, 4, 0))) and mixing.mixed(df, targets.limit(0))[0].count() == 0
+
+
+def test_shard_quotas():
+    rng = random.Random(2)
+    for _ in range(200):
+        quota, shards = {s: rng.randrange(40) for s in "abcde"}, rng.randrange(1, 9)
+        got = mixing.shard_quotas(quota, shards)
+        assert all(sum(got[s, k] for k in range(shards)) == n and max(got[s, k] for k in range(shards)) - min(got[s, k] for k in range(shards)) <= 1 for s, n in quota.items())
+        sums = [sum(got[s, k] for s in quota) for k in range(shards)]
+        assert max(sums) - min(sums) <= 1
 
 
 # --- 9: personal information ----------------------------------------------------------------------------------------------------

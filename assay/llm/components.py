@@ -27,10 +27,12 @@ def _search(arcs: DataFrame) -> DataFrame:
     """(node, label) for every node of arcs (src, dst), both directions given; labels of one component may still differ."""
     around = arcs.groupBy("src").agg(F.min(_place("dst")).alias("least"))
     frontier = cut(around.where(_place("src") < F.col("least")).select(F.col("src").alias("node"), F.col("src").alias("label")), "seeds")
-    reached = frontier
+    reached, before = frontier, None
     while True:
         near = frontier.join(arcs, frontier.node == arcs.src).groupBy(F.col("dst").alias("node")).agg(F.min(_place("label")).alias("l"))
-        frontier = cut(near.join(reached.select("node"), "node", "left_anti").select("node", F.col("l.v").alias("label")), "frontier")
+        # a neighbour of the frontier that was reached earlier was so in this round or the one before: no older ones need be read
+        known = frontier.select("node") if before is None else frontier.select("node").unionByName(before.select("node"))
+        before, frontier = frontier, cut(near.join(known, "node", "left_anti").select("node", F.col("l.v").alias("label")), "frontier")
         if frontier.isEmpty():
             return reached
         reached = reached.unionByName(frontier)

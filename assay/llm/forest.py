@@ -180,10 +180,26 @@ def _neighbours(similarity: float):
                 out.append(np.stack([cid[i[fits]], cid[j[fits]]], 1))
         return np.concatenate(out) if out else np.empty((0, 2), np.int64)
 
+    def beside(region: np.ndarray, cid: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> list[np.ndarray]:
+        """The same for many small regions at once: each row with the first, second, third row after it, as far as its region goes."""
+        size, bits2 = (s2 >> np.uint64(48)).astype(np.int64), s2 & low
+        out, step, live = [], 1, np.arange(len(region))
+        while len(live := live[: np.searchsorted(live, len(region) - step)]) and len(live := live[region[live] == region[live + step]]):
+            i, j = live, live + step
+            most = (size[i] + size[j]) * share + 1e-6
+            fits = (np.bitwise_count(s1[i] ^ s1[j]) + np.bitwise_count(bits2[i] ^ bits2[j]) <= most) & (np.abs(size[i] - size[j]) <= most)
+            fits |= (size[i] == 0xFFFF) | (size[j] == 0xFFFF)
+            fits &= cid[i] != cid[j]
+            out.append(np.stack([cid[i[fits]], cid[j[fits]]], 1))
+            step += 1
+        return out
+
     def pairs(region: np.ndarray, cid: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> pa.RecordBatch:
-        edges = np.flatnonzero(np.diff(region)) + 1
-        starts, ends = np.concatenate(([0], edges)), np.concatenate((edges, [len(region)]))
-        found = [compare(cid[a:b], s1[a:b], s2[a:b]) for a, b in zip(starts, ends) if b - a > 1]
+        starts = np.concatenate(([0], np.flatnonzero(np.diff(region)) + 1))
+        sizes = np.diff(np.concatenate((starts, [len(region)])))
+        some = np.repeat((sizes > 1) & (sizes <= 48), sizes)
+        found = [compare(cid[a : a + n], s1[a : a + n], s2[a : a + n]) for a, n in zip(starts[sizes > 48], sizes[sizes > 48])]
+        found += beside(region[some], cid[some], s1[some], s2[some])
         both = np.concatenate(found) if found else np.empty((0, 2), np.int64)
         both = np.unique(np.sort(both, axis=1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], schema=schema)

@@ -27,7 +27,7 @@ from ..plans.lineage import cut
 from ..shipping import ship
 
 #: Bytes by which an oversized bucket is split after the ones all its forms share.
-STEP = 2
+STEP = 3
 #: Forms of a task's trie that are handed on before it begins a new one.
 MOST_KEYS = 200_000
 
@@ -215,17 +215,21 @@ def radix_buckets(forms: DataFrame, bucket_rows: int) -> DataFrame:
 
     Every round splits the oversized buckets only. A form that ends within the bytes its bucket is split by is a bucket of its own.
     """
-    rest = forms.withColumn("bucket", F.lit(b""))
-    out: DataFrame | None = None
+    rest = forms.select("form", F.lit(b"").alias("bucket"))
+    plan: list[DataFrame] = []  # a small table for each round
     while True:
         sizes = rest.groupBy("bucket").agg(F.count("*").alias("n"), F.min("form").alias("low"), F.max("form").alias("high"))
         large = sizes.where((F.col("n") > bucket_rows) & (F.col("low") != F.col("high"))).select("bucket", (_shared_bytes("low", "high") + STEP).alias("length"))
         large = cut(large, "buckets")
-        done = rest.join(large, "bucket", "left_anti")
-        out = done if out is None else out.unionByName(done)
         if large.isEmpty():
-            return out
-        rest = rest.join(large, "bucket").withColumn("bucket", F.substring("form", F.lit(1), F.col("length"))).drop("length")
+            break
+        plan.append(large)
+        rest = rest.join(large, "bucket").select("form", F.substring("form", F.lit(1), F.col("length")).alias("bucket"))
+    # one pass over the forms: a bucket that a round didn't split meets nothing in the later ones, as those are about longer beginnings of others
+    out = forms.withColumn("bucket", F.lit(b""))
+    for large in plan:
+        out = out.join(large, "bucket", "left").withColumn("bucket", F.coalesce(F.substring("form", F.lit(1), F.col("length")), "bucket")).drop("length")
+    return out
 
 
 def copy_groups(df: DataFrame, key: str, statements: list[str], bucket_rows: int | None = None) -> tuple[DataFrame, DataFrame]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.sqltext import KEYWORDS
 from ..operators import candidates as ops
 from ..sources.catalog import table
 from .catalogue import query
@@ -92,8 +93,8 @@ def pass_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_ONCE}, e AS (SELECT idx, sum(coalesce(correct, 0)) AS num_correct FROM c GROUP BY idx), h AS (SELECT num_correct, count(*) AS prompts FROM e GROUP BY 1)
-SELECT r AS num_correct, coalesce(prompts, 0) AS prompts FROM range(0, 9) t(r) LEFT JOIN h ON r = num_correct
+WITH {_ONCE}, e AS (SELECT idx, count(*) FILTER (correct > 0) AS num_correct FROM c GROUP BY idx), h AS (SELECT num_correct, count(*) AS prompts FROM e GROUP BY 1)
+SELECT r AS num_correct, coalesce(prompts, 0) AS prompts FROM range(0, 9) t(r) LEFT JOIN h ON r = num_correct UNION ALL SELECT num_correct::BIGINT, prompts FROM h WHERE num_correct > 8
 """)
 def correct_histogram(spark: SparkSession, d: str) -> DataFrame:
     return ops.correct_histogram(_once(spark, d, ["correct"]), 8)
@@ -107,15 +108,81 @@ def heterogeneous_prompts(spark: SparkSession, d: str) -> DataFrame:
     return ops.heterogeneous_prompts(_once(spark, d, ["correct"]))
 
 
-@query(f"""
-WITH {_ONCE}, u AS (SELECT *, coalesce(pred_executed AND length(trim(pred_sql)) > 0, false) AS use FROM c),
+_VOTES = f"""{_ONCE}, u AS (SELECT *, coalesce(pred_executed, false) AND coalesce(length(trim(pred_sql)) > 0, false) AS use, coalesce(pred_executed, false) AND NOT coalesce(length(trim(pred_sql)) > 0, false) AS hollow FROM c),
 g AS (SELECT idx, pred_sql AS sig, count(*) AS size, min(sample_id) AS first, min(length(coalesce(pred_sql, ''))) AS short FROM u WHERE use GROUP BY 1, 2),
 b AS (SELECT idx, first AS winner, size AS votes FROM g QUALIFY row_number() OVER (PARTITION BY idx ORDER BY size DESC, first, short) = 1),
-a AS (SELECT idx, count(*) FILTER (NOT use) AS ignored FROM u GROUP BY 1)
-SELECT a.idx, b.winner, coalesce(b.votes, 0) AS votes, ignored FROM a LEFT JOIN b ON a.idx = b.idx
-""")
+a AS (SELECT idx, count(*) FILTER (hollow) AS ignored, count(*) FILTER (use) AS voting FROM u GROUP BY 1),
+v AS (SELECT a.idx, b.winner, coalesce(b.votes, 0) AS votes, voting, ignored FROM a LEFT JOIN b ON a.idx = b.idx)"""
+
+
+def _votes(spark: SparkSession, d: str) -> DataFrame:
+    return ops.majority_vote(_once(spark, d, ["pred_sql", "pred_executed"]), "pred_sql", C("pred_executed"), F.length(F.trim("pred_sql")) > 0)
+
+
+@query(f"WITH {_VOTES} SELECT * FROM v")
 def majority_vote(spark: SparkSession, d: str) -> DataFrame:
-    return ops.majority_vote(_once(spark, d, ["pred_sql", "pred_executed"]), "pred_sql", C("pred_executed") & (F.length(F.trim("pred_sql")) > 0))
+    """A vote by statement, of candidates that ran; those without a statement count as ignored."""
+    return _votes(spark, d)
+
+
+@query(f"""
+WITH {_VOTES}, w AS (SELECT v.*, c.correct FROM v LEFT JOIN c ON v.idx = c.idx AND v.winner = c.sample_id)
+SELECT count(*) AS prompts, count(winner) AS with_vote, count(*) - count(winner) AS without_vote, sum(ignored)::BIGINT AS ignored, sum(votes)::BIGINT AS winning_votes, sum(voting)::BIGINT AS voting,
+ count(*) FILTER (correct > 0) AS correct, 100.0::DOUBLE * count(*) FILTER (correct > 0) / greatest(1, count(*)) AS accuracy FROM w
+""")
+def vote_summary(spark: SparkSession, d: str) -> DataFrame:
+    return ops.vote_summary(_votes(spark, d), _once(spark, d, ["correct"]))
+
+
+@query(f"""
+WITH {_ONCE}, e AS (SELECT idx, count(*) AS n, count(*) FILTER (correct > 0) AS c, count(*) FILTER (pred_executed) AS x FROM c GROUP BY idx)
+SELECT count(*) AS prompts, count(*) FILTER (c = n) AS all_correct, count(*) FILTER (c = 0) AS none_correct, count(*) FILTER (c > 0 AND c < n) AS heterogeneous, avg((c > 0 AND c < n)::INT::DOUBLE) AS heterogeneous_rate,
+ avg((c > 0)::INT::DOUBLE) AS any_correct_rate, sum(c)::DOUBLE / sum(n) AS candidate_accuracy, {" || ',' || ".join(f"count(*) FILTER (c = {i})" for i in range(9))} AS correct_histogram,
+ {" || ',' || ".join(f"count(*) FILTER (x = {i})" for i in range(9))} AS executed_histogram, count(*) FILTER (n > 8) AS over_samples FROM e
+""")
+def heterogeneity_probe(spark: SparkSession, d: str) -> DataFrame:
+    probe = ops.heterogeneity_probe(_once(spark, d, ["correct", "pred_executed"]), 8)
+    return probe.withColumns({c: F.array_join(C(c).cast("array<string>"), ",") for c in ("correct_histogram", "executed_histogram")})
+
+
+@query(f"""
+WITH {_ONCE}, p AS (SELECT DISTINCT question_id AS idx FROM dev_tied_append), e AS (SELECT idx, count(*) AS n, count(*) FILTER (correct > 0) AS c, count(*) FILTER (pred_executed) AS x, sum(coalesce(tool_call_count, 0)) AS t, count(*) FILTER (stop_reason = 'finished') AS f FROM c GROUP BY idx),
+m AS (SELECT coalesce(n, 0) AS n, coalesce(c, 0) AS c, coalesce(x, 0) AS x, coalesce(t, 0) AS t, coalesce(f, 0) AS f FROM p LEFT JOIN e USING (idx))
+SELECT count(*) AS prompts, count(*) FILTER (n > 0) AS with_candidates, sum(n)::BIGINT AS candidates, sum(c)::BIGINT AS correct, 100.0::DOUBLE * sum(c) / greatest(1, sum(n)) AS candidate_accuracy, count(*) FILTER (c > 0) AS any_correct,
+ sum(x)::BIGINT AS executed, sum(f)::BIGINT AS finished, sum(t)::DOUBLE / greatest(1, sum(n)) AS mean_tool_calls, {" || ',' || ".join(f"count(*) FILTER (n = {i})" for i in range(9))} AS candidate_histogram, count(*) FILTER (n > 8) AS over_samples FROM m
+""")
+def pass_report(spark: SparkSession, d: str) -> DataFrame:
+    prompts = table(spark, d, "dev_tied_append").select(C("question_id").alias("idx"))
+    report = ops.pass_report(prompts, _once(spark, d, ["correct", "pred_executed", "tool_call_count", "stop_reason"]), 8)
+    return report.withColumn("candidate_histogram", F.array_join(C("candidate_histogram").cast("array<string>"), ","))
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    rows = _once(spark, d, ["prediction_text", "pred_sql", "gold_sql", "pred_executed", "correct"])
+    shown = rows.select("candidate_id", C("prediction_text").alias("completion"), "pred_sql", "gold_sql", C("pred_executed").alias("ran"), (C("correct") > 0).alias("equal"), C("pred_executed").alias("any_value"))
+    return ops.rewards(shown, 100, 20)
+
+
+@query()
+def seven_rewards(spark: SparkSession, d: str) -> DataFrame:
+    """All seven rewards of every candidate."""
+    return _scored(spark, d).select("candidate_id", *ops.REWARDS, F.round(ops.weighted_reward(), 9).alias("reward"))
+
+
+@query(r"""
+WITH c AS (SELECT * FROM run_inference_bird QUALIFY row_number() OVER (PARTITION BY idx, sample_id ORDER BY candidate_id) = 1),
+k AS (SELECT list(kw) AS ks FROM (SELECT unnest(string_split('""" + " ".join(KEYWORDS) + r"""', ' ')) AS kw)),
+n AS (SELECT candidate_id, list_sort(list_distinct(list_filter(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(pred_sql, '')), '''[^'']*''', '''''', 'g'), '"[^"]*"', '""', 'g'), '`', '', 'g'), '(?:from|join)\s+([a-z_][a-z0-9_-]*)', 1), lambda v: NOT list_contains(ks, v)))) AS p,
+ list_sort(list_distinct(list_filter(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(gold_sql, '')), '''[^'']*''', '''''', 'g'), '"[^"]*"', '""', 'g'), '`', '', 'g'), '(?:from|join)\s+([a-z_][a-z0-9_-]*)', 1), lambda v: NOT list_contains(ks, v)))) AS g FROM c, k),
+w AS (SELECT candidate_id, CASE WHEN x = '' THEN 0 ELSE len(regexp_split_to_array(x, '[\s\x{85}\x{A0}\x{2000}-\x{200A}\x{3000}]+')) END AS n FROM (SELECT candidate_id, regexp_replace(coalesce(prediction_text, ''), '^[\s\x{85}\x{A0}\x{2000}-\x{200A}\x{3000}]+|[\s\x{85}\x{A0}\x{2000}-\x{200A}\x{3000}]+$', '', 'g') AS x FROM c))
+SELECT c.candidate_id, regexp_matches(coalesce(prediction_text, ''), '(?is)<scratch_pad>\s*.+?\s*</scratch_pad>\s*<final_answer>\s*<sql_code>\s*.+?\s*</sql_code>\s*</final_answer>')::INT::DOUBLE AS format_reward,
+ coalesce(pred_executed, false)::INT::DOUBLE AS execution_reward, (coalesce(pred_executed, false) AND coalesce(correct > 0, false))::INT::DOUBLE AS result_reward,
+ CASE WHEN len(g) = 0 THEN 0.0::DOUBLE ELSE (p = g)::INT::DOUBLE END AS table_linking, coalesce(pred_executed, false)::INT::DOUBLE AS nonnull_reward,
+ CASE WHEN w.n <= 80 THEN 0.0::DOUBLE WHEN w.n <= 100 THEN (80 - w.n) / 20.0::DOUBLE ELSE -1.0::DOUBLE END AS length_penalty FROM c JOIN n USING (candidate_id) JOIN w USING (candidate_id)
+""")
+def native_rewards(spark: SparkSession, d: str) -> DataFrame:
+    """The six rewards that SQL can express."""
+    return _scored(spark, d).select("candidate_id", *[r for r in ops.REWARDS if r != "column_linking"])
 
 
 @query("""
@@ -127,7 +194,7 @@ def vote_by_result(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
     e = table(spark, d, "events").withColumn("sample", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).where("value > 0")
-    return ops.majority_vote(e, "event_type", F.lit(True), "user_id", "sample", "event_type").select("user_id", "winner", "votes")
+    return ops.majority_vote(e, "event_type", F.lit(True), None, "user_id", "sample", "event_type").select("user_id", "winner", "votes")
 
 
 _R = "r AS (SELECT * FROM reward_rows QUALIFY row_number() OVER (PARTITION BY candidate_id ORDER BY format_reward, execution_reward, result_reward) = 1)"
@@ -208,13 +275,18 @@ def filter_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_ONCE}, bad AS (SELECT idx FROM c GROUP BY idx HAVING sum(coalesce(correct, 0)) = 0),
-s AS (SELECT idx, coalesce(pred_sql, '') AS sql, count(*) AS n, count(*) FILTER (pred_executed) AS ok, min(sample_id) AS first FROM c WHERE idx IN (SELECT idx FROM bad) GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY n DESC, first, sql) AS r FROM s)
-SELECT idx, sum(n)::BIGINT AS n, count(*) AS distinct_sql, max(sql) FILTER (r = 1) AS top_sql, max(n) AS top_count, sum(ok)::BIGINT AS executed, coalesce(sum(n) FILTER (r <= 3), 0)::BIGINT AS in_top FROM r GROUP BY idx
+WITH {_ONCE}, bad AS (SELECT idx FROM c GROUP BY idx HAVING count(*) FILTER (correct > 0) = 0), r AS (SELECT * FROM c WHERE idx IN (SELECT idx FROM bad)),
+s AS (SELECT idx, coalesce(pred_sql, '') AS v, count(*) AS n, count(*) FILTER (pred_executed) AS ok, min(sample_id) AS first FROM r GROUP BY 1, 2),
+q AS (SELECT idx, sum(n)::BIGINT AS n, count(*) AS distinct_sql, sum(ok)::BIGINT AS executed, string_agg(n || ' ' || v, '|' ORDER BY n DESC, first, v) FILTER (k <= 3) AS top_queries FROM (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY n DESC, first, v) AS k FROM s) GROUP BY 1),
+x AS (SELECT idx, 'e' AS w, split_part(coalesce(pred_error, ''), chr(10), 1) AS v FROM r UNION ALL SELECT idx, 't', CASE WHEN len(coalesce(tool_order, [])) = 0 THEN '<none>' ELSE array_to_string(tool_order, ' -> ') END FROM r UNION ALL SELECT idx, 's', coalesce(stop_reason, 'unknown') FROM r),
+y AS (SELECT idx, w, v, count(*) AS n FROM x WHERE NOT (w = 'e' AND v = '') GROUP BY ALL),
+z AS (SELECT idx, string_agg(n || ' ' || v, '|' ORDER BY n DESC, v) FILTER (w = 'e') AS errors, string_agg(n || ' ' || v, '|' ORDER BY n DESC, v) FILTER (w = 't') AS tools, string_agg(n || ' ' || v, '|' ORDER BY n DESC, v) FILTER (w = 's') AS stops FROM y GROUP BY 1)
+SELECT q.idx, n, distinct_sql, executed, top_queries, coalesce(errors, '') AS errors, tools, stops FROM q JOIN z USING (idx)
 """)
 def all_wrong(spark: SparkSession, d: str) -> DataFrame:
-    return ops.all_wrong(_once(spark, d, ["pred_sql", "pred_executed", "correct"]))
+    rows = ops.all_wrong(_once(spark, d, ["pred_sql", "pred_executed", "correct", "pred_error", "tool_order", "stop_reason"]))
+    shown = {c: F.array_join(F.transform(c, lambda v: F.concat(v["n"].cast("string"), F.lit(" "), v["value"])), "|") for c in ("top_queries", "errors", "tools", "stops")}
+    return rows.withColumns(shown)
 
 
 @query("SELECT record_id, row_number() OVER (ORDER BY record_id) - 1 AS ordinal, ((row_number() OVER (ORDER BY record_id) - 1) % 4)::INT AS shard FROM dev_tied_append")

@@ -20,14 +20,14 @@ def _unpivot(columns: list[str], name: str) -> str:
 
 
 @query(f"""
-WITH u AS ({_unpivot(["p_partkey", "p_name", "p_brand", "p_type", "p_size"], "part")}), d AS (SELECT *, TRY_CAST(value AS DOUBLE) AS x FROM u)
-SELECT column_name, count(*) AS row_count, count(value) AS non_null, count(*) - count(value) AS null_count, count(DISTINCT value) AS distinct_count,
+WITH u AS ({_unpivot(["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"], "part")}), d AS (SELECT *, TRY_CAST(value AS DOUBLE) AS x FROM u)
+SELECT column_name, count(*) AS row_count, count(value) AS non_null, count(*) - count(value) AS null_count, count(DISTINCT value) AS distinct_count, CASE WHEN column_name IN ('p_partkey', 'p_size', 'p_retailprice') THEN 'NUMERIC' ELSE 'TEXT' END AS kind,
  min(x) AS num_min, max(x) AS num_max, round(avg(x), 6) AS num_mean, median(x) AS num_median, min(length(value))::INT AS len_min, max(length(value))::INT AS len_max, round(avg(length(value)), 6) AS len_mean FROM d GROUP BY 1
 """)
 def profile_columns(spark: SparkSession, d: str) -> DataFrame:
-    p = profile.column_profile(table(spark, d, "part"), ["p_partkey", "p_name", "p_brand", "p_type", "p_size"])
+    p = profile.column_profile(table(spark, d, "part"), ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"])
     return p.select(
-        "column_name", "row_count", "non_null", "null_count", "distinct_count", "num_min", "num_max", F.round("num_mean", 6).alias("num_mean"), "num_median", "len_min", "len_max", F.round("len_mean", 6).alias("len_mean")
+        "column_name", "row_count", "non_null", "null_count", "distinct_count", "kind", "num_min", "num_max", F.round("num_mean", 6).alias("num_mean"), "num_median", "len_min", "len_max", F.round("len_mean", 6).alias("len_mean")
     )
 
 
@@ -41,10 +41,11 @@ def top_values(spark: SparkSession, d: str) -> DataFrame:
 
 @query(rf"""
 WITH u AS ({_unpivot(["db_id", "title", "registered_at"], "db_catalog")}), s AS (SELECT column_name, value FROM u WHERE value IS NOT NULL)
-SELECT column_name, avg(regexp_matches(value, '\p{{Lu}}')::INT) AS has_upper, avg(regexp_matches(value, '\d')::INT) AS has_digit, avg(regexp_matches(value, '\s')::INT) AS has_space FROM s GROUP BY 1
+SELECT column_name, avg(regexp_matches(value, '\p{{Lu}}')::INT) AS has_upper, avg(regexp_matches(value, '\p{{Ll}}')::INT) AS has_lower, avg(regexp_matches(value, '\d')::INT) AS has_digit, avg(regexp_matches(value, '\s')::INT) AS has_space,
+ avg(regexp_matches(value, '^\d+$')::INT) AS all_digits, avg(regexp_matches(trim(value), '^(\d{{4}}-\d{{2}}-\d{{2}}|\d{{4}}/\d{{2}}/\d{{2}}|\d{{2}}/\d{{2}}/\d{{4}}|\d{{4}}-\d{{2}}-\d{{2}} \d{{2}}:\d{{2}}:\d{{2}})$')::INT) AS looks_date_like FROM s GROUP BY 1
 """)
 def character_classes(spark: SparkSession, d: str) -> DataFrame:
-    return profile.character_classes(table(spark, d, "db_catalog"), ["db_id", "title", "registered_at"]).select("column_name", "has_upper", "has_digit", "has_space")
+    return profile.character_classes(table(spark, d, "db_catalog"), ["db_id", "title", "registered_at"]).drop("has_punct", "looks_json_like")
 
 
 @query(f"""
@@ -55,8 +56,12 @@ def value_prefixes(spark: SparkSession, d: str) -> DataFrame:
     return profile.prefixes(table(spark, d, "db_catalog"), ["db_id", "topic_area"])
 
 
+def _asked():
+    return F.concat_ws(" ", "question", "evidence")
+
+
 _BM25 = r"""
-docs AS (SELECT record_id AS doc, db_id, regexp_extract_all(lower(coalesce(question, '')), '[\p{L}\p{M}\p{N}_]+') AS w FROM dev_tied_append),
+docs AS (SELECT record_id AS doc, db_id, regexp_extract_all(lower(concat_ws(' ', question, evidence)), '[\p{L}\p{M}\p{N}_]+') AS w FROM dev_tied_append),
 size AS (SELECT count(*) AS n, avg(len(w)) AS mean_dl FROM docs), ix AS (SELECT doc, len(w) AS dl, unnest(w) AS word FROM docs), tf AS (SELECT doc, dl, word, count(*) AS tf FROM ix GROUP BY ALL),
 raw AS (SELECT word, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf, size GROUP BY word, n), m AS (SELECT avg(raw) AS mean_idf FROM raw),
 idf AS (SELECT word, CASE WHEN raw < 0 THEN 0.25 * mean_idf ELSE raw END AS idf FROM raw, m),
@@ -67,20 +72,21 @@ sc AS (SELECT query, any_value(qdb) AS qdb, doc, sum(qf * idf * tf * 2.5 / (tf +
 
 @query(f"WITH {_BM25} SELECT query, doc, round(score, 4) AS score, row_number() OVER (PARTITION BY query ORDER BY round(score, 4) DESC, doc) AS place FROM sc QUALIFY place <= 5")
 def bm25_search(spark: SparkSession, d: str) -> DataFrame:
-    """The five questions most like each question whose record_id is divisible by 100, of all questions."""
-    docs = table(spark, d, "dev_tied_append").select("record_id", "question")
+    """The five records most like each record whose record_id is divisible by 100, by question and evidence, of all records."""
+    docs = table(spark, d, "dev_tied_append").select("record_id", _asked().alias("text"))
     asked = docs.where("record_id % 100 = 0")
-    return search.ranked(search.bm25(docs, "record_id", C("question"), asked, "record_id", C("question")), docs, "record_id", asked, "record_id", 5)
+    return search.ranked(search.bm25(docs, "record_id", C("text"), asked, "record_id", C("text")), docs, "record_id", asked, "record_id", 5)
 
 
 @query(f"""
-WITH {_BM25}, x AS (SELECT sc.query, sc.doc, score FROM sc JOIN docs ON sc.doc = docs.doc WHERE docs.db_id IS DISTINCT FROM sc.qdb)
-SELECT query, doc, round(score, 4) AS score, row_number() OVER (PARTITION BY query ORDER BY round(score, 4) DESC, doc) AS place FROM x QUALIFY place <= 3
+WITH {_BM25}, qs AS (SELECT doc AS query, db_id AS qdb FROM docs WHERE doc % 100 = 0),
+x AS (SELECT qs.query, docs.doc, coalesce(round(sc.score, 4), 0) AS score FROM qs JOIN docs ON docs.db_id IS DISTINCT FROM qs.qdb LEFT JOIN sc ON sc.query = qs.query AND sc.doc = docs.doc)
+SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS place FROM x QUALIFY place <= 3
 """)
 def bm25_fewshot(spark: SparkSession, d: str) -> DataFrame:
     """The same, of other databases only."""
-    docs = table(spark, d, "dev_tied_append").select("record_id", "question", "db_id")
-    return search.few_shots(docs, "record_id", C("question"), docs.where("record_id % 100 = 0"), "record_id", C("question"), 3, "db_id")
+    docs = table(spark, d, "dev_tied_append").select("record_id", _asked().alias("text"), "db_id")
+    return search.few_shots(docs, "record_id", C("text"), docs.where("record_id % 100 = 0"), "record_id", C("text"), 3, "db_id")
 
 
 @query(r"""
@@ -98,6 +104,35 @@ def value_search(spark: SparkSession, d: str) -> DataFrame:
     return search.value_search(table(spark, d, "db_catalog"), "title", "harbor audit", 5)
 
 
+@query("""
+WITH a AS (SELECT l_orderkey AS k, l_quantity AS q, l_discount AS x FROM lineitem), b AS (SELECT l_orderkey, l_quantity, CASE WHEN l_linenumber = 1 THEN l_discount + 1e-9 ELSE l_discount END FROM lineitem),
+m AS (SELECT * FROM a EXCEPT SELECT * FROM b), n AS (SELECT * FROM b EXCEPT SELECT * FROM a)
+SELECT (SELECT count(*) FROM m) = 0 AND (SELECT count(*) FROM n) = 0 AS equal, (SELECT count(*) FROM m) AS only_a, (SELECT count(*) FROM n) AS only_b
+""")
+def ex_match_doubles(spark: SparkSession, d: str) -> DataFrame:
+    """Doubles compare unrounded, whole ones with whole numbers of another type."""
+    li = table(spark, d, "lineitem")
+    a = li.select("l_orderkey", "l_quantity", "l_discount")
+    b = li.select(C("l_orderkey").cast("decimal(20,0)"), "l_quantity", F.when(C("l_linenumber") == 1, C("l_discount").cast("double") + 1e-9).otherwise(C("l_discount").cast("double")))
+    return compare.differences(a, b)
+
+
+@query("""
+SELECT pair, equal FROM (VALUES ('whole and real', true), ('number and text', false), ('neighbours beyond 2 ** 53', false), ('tiny and zero', false), ('true and one', true), ('null and null', true), ('null and zero', false), ('text and its capitals', false)) v(pair, equal)
+""")
+def ex_match_types(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of single cells of different types, each compared as a result of one row."""
+    pairs = {
+        "whole and real": ("1", "1.0D"), "number and text": ("1", "'1.0'"), "neighbours beyond 2 ** 53": ("9007199254740993", "9007199254740992"), "tiny and zero": ("1e-7D", "0"), "true and one": ("true", "1"),
+        "null and null": ("NULL", "CAST(NULL AS INT)"), "null and zero": ("NULL", "0"), "text and its capitals": ("'a'", "'A'"),
+    }
+    done = [compare.differences(spark.sql(f"SELECT {a} AS x"), spark.sql(f"SELECT {b} AS y")).select(F.lit(k).alias("pair"), "equal") for k, (a, b) in pairs.items()]
+    out = done[0]
+    for r in done[1:]:
+        out = out.unionByName(r)
+    return out
+
+
 def _totals(spark: SparkSession, d: str, shift: float) -> DataFrame:
     o = table(spark, d, "orders").where(f"o_totalprice > {shift}")
     return o.groupBy("o_custkey").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
@@ -105,11 +140,11 @@ def _totals(spark: SparkSession, d: str, shift: float) -> DataFrame:
 
 @query("""
 WITH a AS (SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_totalprice > 0 GROUP BY 1), b AS (SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_totalprice > 1500 GROUP BY 1),
-x AS (SELECT o_custkey, n FROM a EXCEPT SELECT o_custkey, n FROM b), y AS (SELECT o_custkey, n FROM b EXCEPT SELECT o_custkey, n FROM a)
+x AS (SELECT * FROM a EXCEPT SELECT * FROM b), y AS (SELECT * FROM b EXCEPT SELECT * FROM a)
 SELECT (SELECT count(*) FROM x) = 0 AND (SELECT count(*) FROM y) = 0 AS equal, (SELECT count(*) FROM x) AS only_a, (SELECT count(*) FROM y) AS only_b
 """)
 def ex_match_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return compare.differences(_totals(spark, d, 0).drop("total"), _totals(spark, d, 1500).drop("total"))
+    return compare.differences(_totals(spark, d, 0), _totals(spark, d, 1500))
 
 
 @query("""
@@ -127,11 +162,39 @@ def guarded_query(spark: SparkSession, d: str) -> DataFrame:
     return QueryService(spark, d, ["nation"]).frame('SELECT [n_name], "n_regionkey" FROM nation WHERE n_regionkey = 2 ?')
 
 
-@query("SELECT 0 AS winner, 2 AS votes, '0,0,1,-1' AS membership")
+@query("""
+SELECT (SELECT min(i) FROM (VALUES (0, (SELECT count(*) FROM nation)), (1, (SELECT count(n_name) FROM nation)), (2, (SELECT max(n_nationkey) FROM nation))) v(i, x) WHERE x = (SELECT count(*) FROM nation)) AS winner,
+ 2 AS votes, '0,0,1,-1' AS membership, (SELECT count(*) FROM nation) AS n
+""")
 def consensus(spark: SparkSession, d: str) -> DataFrame:
     s = QueryService(spark, d, ["nation"])
     r = s.consensus(["SELECT count(*) AS n FROM nation", "SELECT count(n_name) AS n FROM nation", "SELECT max(n_nationkey) AS m FROM nation", "DROP TABLE nation"])
-    return spark.createDataFrame([(r["winner"], r["votes"], ",".join(map(str, r["membership"])))], "winner int, votes int, membership string")
+    return spark.createDataFrame([(r["winner"], r["votes"], ",".join(map(str, r["membership"])), r["result"]["rows"][0][0])], "winner int, votes int, membership string, n long")
+
+
+#: Statements in the dialect, and what a database without it needs to be asked for the same number.
+DIALECT = {
+    "SELECT SUM(n_regionkey > 2) FROM nation": "SELECT count(*) FILTER (n_regionkey > 2) FROM nation",
+    "SELECT SUM(n_nationkey) / COUNT(*) FROM nation": "SELECT sum(n_nationkey) // count(*) FROM nation",
+    "SELECT CAST(SUM(CASE WHEN c_acctbal > 0 THEN 1 ELSE 0 END) AS REAL) * 100 / COUNT(c_custkey) FROM customer": "SELECT count(*) FILTER (c_acctbal > 0) * 100.0::DOUBLE / count(*) FROM customer",
+    "SELECT 1 / 0": "SELECT NULL::DOUBLE",
+    "SELECT LENGTH(SUBSTR(n_name, 0, 3)) FROM nation ORDER BY n_nationkey LIMIT 2, 1": "SELECT 2",
+    "SELECT COUNT(*) FROM nation WHERE n_name LIKE 'a%' OR n_name > 5": "SELECT count(*) FROM nation WHERE n_name ILIKE 'a%' OR n_name > '5'",
+    "SELECT COUNT(*) FROM orders WHERE strftime('%Y', o_orderdate) = '1995' AND strftime('%m', o_orderdate) IN ('01', '02')": "SELECT count(*) FROM orders WHERE year(o_orderdate) = 1995 AND month(o_orderdate) IN (1, 2)",
+    "SELECT MAX(strftime('%Y', o_orderdate) - 1900) FROM orders": "SELECT max(year(o_orderdate)) - 1900 FROM orders",
+    "SELECT IIF(COUNT(*) / 2 > 10, COUNT(*) / 2, -1) FROM nation": "SELECT CASE WHEN count(*) // 2 > 10 THEN count(*) // 2 ELSE -1 END FROM nation",
+    "SELECT CAST('12abc' AS INTEGER) + CAST('abc' AS REAL)": "SELECT 12",
+    "SELECT ROUND(julianday(MAX(o_orderdate)) - julianday(MIN(o_orderdate)), 3) FROM orders": "SELECT round(julian(max(o_orderdate)) - julian(min(o_orderdate)), 3) FROM orders",
+    "SELECT s_suppkey, MAX(s_acctbal) FROM supplier": "SELECT arg_max(s_suppkey, s_acctbal) FROM supplier",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT {i} AS no, CAST(({sql}) AS DOUBLE) AS value" for i, sql in enumerate(DIALECT.values())))
+def dialect(spark: SparkSession, d: str) -> DataFrame:
+    """The first cell of statements in the dialect, run by the service."""
+    s = QueryService(spark, d, ["nation", "customer", "orders", "supplier"])
+    rows = [(i, s.query(sql)["rows"][0][0]) for i, sql in enumerate(DIALECT)]
+    return spark.createDataFrame([(i, None if v is None else float(v)) for i, v in rows], "no int, value double")
 
 
 @query("""

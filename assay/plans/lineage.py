@@ -1,7 +1,8 @@
 """Cutting lineage with tables written to the folder all executors share.
 
 A written table survives the loss of executors and, unlike an RDD checkpoint,
-is compressed and keeps column pruning and filter pushdown for its readers.
+is compressed and keeps column pruning and filter pushdown for its readers. It
+is deleted by released() or release(), else when the interpreter ends.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,9 +44,18 @@ def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
-    """Deletes every table written by cut(); frames read from them are void afterwards."""
-    while _written:
+@contextmanager
+def released() -> Iterator[None]:
+    """Tables cut inside are deleted at the end: for whoever runs many queries in one session and has taken a query's result before."""
+    start = len(_written)
+    try:
+        yield
+    finally:
+        _drop(start)
+
+
+def _drop(start: int) -> None:
+    while len(_written) > start:
         spark, path = _written.pop()
         try:
             jvm = spark.sparkContext._jvm
@@ -53,4 +65,9 @@ def release() -> None:
             pass
 
 
+def release() -> None:
+    """Deletes every table written by cut(); frames read from them are void afterwards."""
+    _drop(0)
+
+
 atexit.register(release)

@@ -109,13 +109,13 @@ def join_self(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH t AS (SELECT o_custkey, max(o_totalprice) AS top FROM orders GROUP BY o_custkey)
-SELECT o.o_orderkey, o.o_custkey FROM orders o JOIN t ON o.o_custkey = t.o_custkey AND o.o_totalprice = t.top
+SELECT c_custkey, c_name, t.n, t.top FROM customer JOIN (SELECT o_custkey, count(*) AS n, max(o_totalprice) AS top FROM orders GROUP BY o_custkey) t ON c_custkey = t.o_custkey WHERE t.n > 3
 """)
 def join_derived(spark: SparkSession, d: str) -> DataFrame:
-    """An argmax with ties for every customer: a window over one shuffle in place of an aggregate joined back, which would need two."""
-    top = F.max("o_totalprice").over(Window.partitionBy("o_custkey"))
-    return table(spark, d, "orders").withColumn("top", top).where("o_totalprice = top").select("o_orderkey", "o_custkey")
+    """A join to a derived table, which is aggregated before the join."""
+    t = table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.max("o_totalprice").alias("top")).where("n > 3")
+    c = table(spark, d, "customer")
+    return c.join(t, c.c_custkey == t.o_custkey).select("c_custkey", "c_name", "n", "top")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
@@ -228,12 +228,11 @@ def rank_topk_per_group(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").withColumn("rnk", rnk).where("rnk <= 5").select("p_brand", "p_partkey", "rnk")
 
 
-@query("SELECT s_suppkey, s_acctbal FROM supplier WHERE s_acctbal = (SELECT max(s_acctbal) FROM supplier)")
+@query("SELECT p_brand, p_partkey, dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size DESC) AS place FROM part QUALIFY place <= 2")
 def dense_rank_argmax(spark: SparkSession, d: str) -> DataFrame:
-    """dense_rank() = 1 over all rows, planned as a maximum and a filter: no row order over the whole table is needed."""
-    s = table(spark, d, "supplier").select("s_suppkey", "s_acctbal")
-    top = s.agg(F.max("s_acctbal").alias("top"))
-    return s.join(F.broadcast(top), C("s_acctbal") == C("top")).select("s_suppkey", "s_acctbal")
+    """The parts of the two greatest sizes of each brand, ties kept."""
+    place = F.dense_rank().over(Window.partitionBy("p_brand").orderBy(F.desc("p_size")))
+    return table(spark, d, "part").select("p_brand", "p_partkey", place.alias("place")).where("place <= 2")
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")

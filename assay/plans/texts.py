@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import sqltext as tx
 from ..sources.catalog import table
 from .catalogue import query
+from .lineage import cut
 
 C = F.col
 
@@ -98,8 +99,16 @@ def sql_order_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _patterned(spark: SparkSession, d: str) -> DataFrame:
-    rows = _candidates(spark, d).where("coalesce(correct, 0) = 0")
-    return rows.withColumn("patterns", tx.error_patterns("pred_sql", "gold_sql", tx.has_content("pred_sql"), C("pred_executed"), C("gold_executed"), C("correct") > 0))
+    """Wrong candidates, each delivery once, with their patterns; every different statement is read a single time."""
+    from ..operators.candidates import first_delivery
+
+    columns = ["candidate_id", "idx", "sample_id", "pred_sql", "gold_sql", "pred_executed", "gold_executed", "correct"]
+    rows = first_delivery(_candidates(spark, d).select(*columns), ["idx", "sample_id"], "candidate_id").where("coalesce(correct, 0) = 0")
+    rows = rows.withColumns({"p": F.coalesce("pred_sql", F.lit("")), "g": F.coalesce("gold_sql", F.lit(""))})
+    texts = rows.select(C("p").alias("t")).union(rows.select("g")).distinct()
+    read = cut(texts.select("t", tx.statement_features("t").alias("f")), "statements")
+    met = rows.join(read.withColumnsRenamed({"t": "p", "f": "pf"}), "p").join(read.withColumnsRenamed({"t": "g", "f": "gf"}), "g")
+    return met.withColumn("patterns", tx.error_patterns(C("pf"), C("gf"), tx.has_content("pred_sql"), C("pred_executed"), C("gold_executed"), C("correct") > 0)).drop("pf", "gf", "p", "g")
 
 
 @query()
@@ -109,22 +118,30 @@ def error_patterns(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def pattern_summary(spark: SparkSession, d: str) -> DataFrame:
-    """(pattern, wrong, prompts, wrong_pct, prompts_pct) over the wrong candidates of heterogeneous prompts, most frequent first."""
-    from ..operators.candidates import heterogeneous_prompts
+    """(pattern, wrong, prompts, wrong_pct, prompts_pct, examples) over the wrong candidates of heterogeneous prompts, most frequent first; examples are
+    the three least candidate_ids."""
+    from ..operators.candidates import first_delivery, heterogeneous_prompts
 
-    mixed = heterogeneous_prompts(_candidates(spark, d)).select("idx")
-    wrong = _patterned(spark, d).join(mixed, "idx", "left_semi")
+    once = first_delivery(_candidates(spark, d).select("candidate_id", "idx", "sample_id", "correct"), ["idx", "sample_id"], "candidate_id")
+    wrong = _patterned(spark, d).join(heterogeneous_prompts(once).select("idx"), "idx", "left_semi").select("candidate_id", "idx", "patterns")
+    wrong = cut(wrong, "wrong")
     total = wrong.agg(F.greatest(F.lit(1), F.count("*")).alias("w"), F.greatest(F.lit(1), F.countDistinct("idx")).alias("p"))
-    each = wrong.select("idx", F.explode("patterns").alias("pattern")).groupBy("pattern", "idx").agg(F.count("*").alias("n")).groupBy("pattern").agg(F.sum("n").alias("wrong"), F.count("*").alias("prompts"))
-    return each.crossJoin(F.broadcast(total)).select("pattern", "wrong", "prompts", (100.0 * C("wrong") / C("w")).alias("wrong_pct"), (100.0 * C("prompts") / C("p")).alias("prompts_pct")).orderBy(F.desc("wrong"), F.desc("prompts"), F.desc("pattern")).limit(20)
+    long = wrong.select("candidate_id", "idx", F.explode("patterns").alias("pattern"))
+    each = long.groupBy("pattern", "idx").agg(F.count("*").alias("n")).groupBy("pattern").agg(F.sum("n").alias("wrong"), F.count("*").alias("prompts"))
+    first = long.withColumn("r", F.row_number().over(Window.partitionBy("pattern").orderBy("candidate_id"))).where("r <= 3")
+    examples = first.groupBy("pattern").agg(F.array_join(F.array_sort(F.collect_list("candidate_id")).cast("array<string>"), ",").alias("examples"))
+    shown = each.join(examples, "pattern").crossJoin(F.broadcast(total))
+    return shown.select("pattern", "wrong", "prompts", (100.0 * C("wrong") / C("w")).alias("wrong_pct"), (100.0 * C("prompts") / C("p")).alias("prompts_pct"), "examples").orderBy(F.desc("wrong"), F.desc("prompts"), F.desc("pattern")).limit(20)
 
 
 @query()
 def failure_labels(spark: SparkSession, d: str) -> DataFrame:
     """Labels of the prompts of which every candidate is wrong, from execution, stop reasons, first errors and diversity."""
+    from ..operators.candidates import first_delivery
     from ..operators.failures import failure_labels as labels
 
-    return labels(_candidates(spark, d)).select("idx", F.array_join("labels", ",").alias("labels"))
+    once = first_delivery(_candidates(spark, d), ["idx", "sample_id"], "candidate_id")
+    return labels(once).select("idx", F.array_join("labels", ",").alias("labels"))
 
 
 @query(r"""
@@ -193,11 +210,11 @@ def unpacked_predictions(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""
-SELECT candidate_id, regexp_replace(regexp_replace(regexp_replace(rtrim(regexp_replace(regexp_replace(replace(pred_sql, '\"', ''''), '"([A-Za-z][A-Za-z0-9_ \-]*)"', '`\1`', 'g'), '\[([A-Za-z][A-Za-z0-9_ \-]*)\]', '`\1`', 'g')), '[?!]+\s*$', ''),
- '''''([^'']+)''''', '''\1''', 'g'), '^$', '') AS sql FROM run_inference_bird WHERE pred_sql NOT LIKE '%\%'
+WITH r AS (SELECT candidate_id, regexp_replace(regexp_replace(replace(replace(replace(replace(replace(pred_sql, '\"', ''''), '\%', chr(1)), '\_', chr(2)), '\''', chr(3)), '\', ''), '"([A-Za-z][A-Za-z0-9_ \-]*)"', '`\1`', 'g'), '\[([A-Za-z][A-Za-z0-9_ \-]*)\]', '`\1`', 'g') AS x FROM run_inference_bird)
+SELECT candidate_id, regexp_replace(regexp_replace(rtrim(replace(replace(replace(x, chr(1), '\%'), chr(2), '\_'), chr(3), '\''')), '[?!]+\s*$', ''), '''''([^'']+)''''', '''\1''', 'g') AS sql FROM r
 """)
 def sanitised_sql(spark: SparkSession, d: str) -> DataFrame:
-    return _candidates(spark, d).where(~C("pred_sql").contains("\\")).select("candidate_id", tx.sanitised("pred_sql").alias("sql"))
+    return _candidates(spark, d).select("candidate_id", tx.sanitised("pred_sql").alias("sql"))
 
 
 @query(r"""

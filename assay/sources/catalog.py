@@ -62,15 +62,23 @@ def foreign_keys(spark: SparkSession, keys: list[tuple[str, str, str, str]] = ST
     return spark.createDataFrame(keys, "table1 string, column1 string, table2 string, column2 string")
 
 
+def roots(given: list[str], kept: str | None = None, first: bool = True) -> list[str]:
+    """Folders to look for databases in, each once: the given ones and those of a list with ':' between them, before or after them."""
+    old = [r for r in (kept or "").split(":") if r.strip()]
+    return list(dict.fromkeys(r.rstrip("/") or "/" for r in (given + old if first else old + given) if r.strip()))
+
+
 def resolve(spark: SparkSession, db_id: str, roots: list[str]) -> str:
-    """The first existing folder <root>/<db_id> or <root>/<db_id>.parquet-folder of the roots, else ''."""
+    """The first folder of the roots that is there, else '': <root>/<db_id>/<db_id>, <root>/<db_id>, the same below databases, dev_databases and
+    train_databases, or a root that is the database's own folder."""
     jvm = spark.sparkContext._jvm
     for root in dict.fromkeys(roots):
-        for candidate in (f"{root}/{db_id}", f"{root}/{db_id}/{db_id}", root if root.rstrip("/").endswith(f"/{db_id}") else ""):
-            if candidate:
-                path = jvm.org.apache.hadoop.fs.Path(candidate)
-                if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-                    return candidate
+        below = [f"{root}/{part}{db_id}" for part in ("", "databases/", "dev_databases/", "train_databases/")]
+        own = [root] if root.rstrip("/").endswith(f"/{db_id}") else []
+        for candidate in [c for b in below for c in (f"{b}/{db_id}", b)] + own:
+            path = jvm.org.apache.hadoop.fs.Path(candidate)
+            if db_id and path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+                return candidate
     return ""
 
 

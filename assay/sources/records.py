@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -34,6 +36,23 @@ def write_jsonl(df: DataFrame, path: str, overwrite: bool = False) -> None:
     df.write.mode("overwrite" if overwrite else "errorifexists").option("ignoreNullFields", "false").json(path)
 
 
+def write_json(df: DataFrame, path: str, overwrite: bool = False, most: int = 100_000) -> None:
+    """A summary as one JSON array with an indent of 2, non-ASCII kept; for aggregates only, so more than most rows are refused."""
+    rows = [json.loads(r) for r in (x[0] for x in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).limit(most + 1).collect())]
+    if len(rows) > most:
+        raise ValueError(f"over {most} rows; write_jsonl takes any number")
+    spark = df.sparkSession
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(target) and not overwrite:
+        raise FileExistsError(path)
+    out = fs.create(target, overwrite)
+    try:
+        out.write(bytearray(json.dumps(rows, ensure_ascii=False, indent=2).encode("utf-8")))
+    finally:
+        out.close()
+
+
 def write_csv(df: DataFrame, path: str, overwrite: bool = False) -> None:
     """A summary with header; a column accuracy has two decimals."""
     if "accuracy" in df.columns:
@@ -70,3 +89,21 @@ def merged_shards(shards: DataFrame, expected: DataFrame, key: str) -> DataFrame
 def inspect(df: DataFrame, n: int = 3, width: int = 120) -> list[dict[str, str]]:
     """Previews of the first n records' fields."""
     return [{k: str(v)[:width] for k, v in row.asDict().items()} for row in df.limit(n).collect()]
+
+
+def selected(df: DataFrame, order: str, size: int, start: int = 0, seed: int | None = None) -> DataFrame:
+    """size rows: those from start on in order, or, with a seed, the least by a seeded hash. Raises if there are fewer; -1 means all from start on."""
+    if seed is not None:
+        out = df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), C(order).cast("string"))), order).limit(size)
+    else:
+        out = df.orderBy(order).offset(start)
+        out = out if size < 0 else out.limit(size)
+    if size >= 0 and (n := out.count()) < size:
+        raise ValueError(f"{n} rows where {size} were asked for")
+    return out
+
+
+def default_paths(base: str, split: str, exists) -> dict[str, str]:
+    """Where a split's records, meanings and databases are: in the layout of one folder a split if that is there, else beside each other. exists tells whether a path is."""
+    new = {"records": f"{base}/{split}/{split}.json", "meanings": f"{base}/{split}/column_meaning.json", "databases": f"{base}/{split}/databases"}
+    return new if exists(new["records"]) else {"records": f"{base}/{split}.json", "meanings": f"{base}/{split}_column_meaning.json", "databases": f"{base}/{split}_databases"}

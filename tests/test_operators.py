@@ -31,8 +31,29 @@ def test_service(spark, folder):
     assert s.query("SELECT name FROM users WHERE age > 90")["warning"] == "no rows"
     assert s.query("SELECT id FROM users", max_rows=3)["truncated"] and not s.query("SELECT id FROM users", max_rows=4)["truncated"]
     pairs = spark.createDataFrame([(1, "SELECT name FROM users WHERE age > 30", gold), (2, "SELECT name FROM users WHERE age > 20", gold), (3, "SELECT nope FROM users", gold)], "id int, pred_sql string, gold_sql string")
-    got = {r["id"]: (r["ran"], r["equal"]) for r in s.evaluate(pairs).collect()}
-    assert got == {1: (True, True), 2: (True, False), 3: (False, False)}
+    more = [(4, gold, "SELECT nope FROM users"), (5, None, gold), (6, "SELECT 1.0 * age FROM users WHERE id = 1", "SELECT age FROM users WHERE id = 1"), (7, "SELECT '30' FROM users", "SELECT age FROM users WHERE id = 1"), (8, "SELECT id, age FROM users WHERE id > 9", "SELECT id FROM users WHERE id > 9"), (9, "SELECT id FROM users WHERE id > 9", gold)]
+    got = {r["id"]: (r["ran"], r["gold_ran"], r["equal"], r["status"].split(":")[0]) for r in s.evaluate(pairs.union(spark.createDataFrame(more, pairs.schema))).collect()}
+    assert got == {
+        1: (True, True, True, "ok"), 2: (True, True, False, "ok"), 3: (False, True, False, "pred_error"), 4: (True, False, False, "gold_error"), 5: (False, True, False, "pred_error"), 6: (True, True, True, "ok"),
+        7: (True, True, False, "ok"), 8: (True, True, True, "ok"), 9: (True, True, False, "ok"),
+    }
+    both = s.compared("SELECT nope FROM users", "DELETE FROM users")
+    assert both["status"].startswith("pred_error: ") and "; gold_error: " in both["status"]
+    assert s.query("SELECT name AS use, age AS merge FROM users WHERE id = 1")["rows"] == [["Alice", 30]]
+    assert s.query("WITH x AS (SELECT 1) INSERT INTO users SELECT * FROM x")["error"] == "invalid_sql"
+
+
+def test_service_keeps_few_results_and_no_timeouts(spark, folder, monkeypatch):
+    from assay.plans import service
+
+    monkeypatch.setattr(service, "MEMO", 2)
+    s = QueryService(spark, folder)
+    for n in range(4):
+        s.query(f"SELECT {n} AS n FROM users")
+    assert len(s._ran) == 2
+    slow = "SELECT count(*) FROM users a, users b, range(3000000) x, range(20000) y WHERE x.id * y.id % 7 = 3"
+    assert s.query(slow, timeout_s=0.5)["error"] == "timeout" and not any(k[0] == slow for k in s._ran)
+    assert s.query("SELECT count(*) AS n FROM users")["rows"] == [[3]]
     assert s.peek("users", ["Name", "agee"]).count() == 2
     assert catalog.resolve(spark, "users", [folder]) == "" and catalog.table_names(spark, folder) == ["users"]
 
@@ -73,13 +94,27 @@ def test_compare(spark):
     assert compare.same_normalised(spark.createDataFrame([(" A ",)], "x string"), spark.createDataFrame([("a",)], "y string"))
     assert compare.same_set(a.limit(0), b.select("p").limit(0)) and not compare.same_set(a, b.select("p"))
     assert compare.same_set(spark.createDataFrame([(None, 1)], "a string, b int"), spark.createDataFrame([(None, 1)], "a string, b int"))
+    cell = lambda x: spark.sql(f"SELECT {x} AS x")
+    for x, y, same in (("1", "1.0D", True), ("1", "'1.0'", False), ("9007199254740993", "9007199254740992", False), ("1e-7D", "0", False), ("true", "1", True), ("2.50", "2.5D", True), ("'a'", "'A'", False), ("NULL", "''", False), ("double('nan')", "double('nan')", True), ("1e300D", "1e300D", True), ("X'41'", "'A'", False)):
+        assert compare.same_set(cell(x), cell(y)) is same, (x, y)
+    assert compare.same_normalised(cell("1.0000001D"), cell("1")) and compare.same_normalised(cell("X'41'"), cell("' a '"))
+    sign = lambda df: compare.set_signature(df).first()["signature"]
+    assert sign(a) == sign(b) == sign(a.orderBy("y").union(a)) and sign(a) != sign(a.where("x = 1")) and sign(a.limit(0)) == compare.EMPTY == sign(b.select("p").limit(0))
+    shape = compare.shape(a)
+    assert (shape["columns"], shape["row_count"], shape["distinct_count"], len(shape["sample"])) == (["x", "y"], 3, 2, 3) and compare.shape_signature({"error": "no"}) == "ERROR:no" and "B" in compare.shape_signature(shape)
     assert compare.any_value(a) and not compare.any_value(spark.createDataFrame([(" ", None)], "a string, b int"))
 
 
 def test_votes_and_pass(spark):
-    df = spark.createDataFrame([(7, 0, "", False), (7, 1, "x", True), (7, 2, "x", True), (8, 0, "y", False)], "idx int, sample_id int, pred_sql string, ok boolean")
-    got = {r["idx"]: (r["winner"], r["votes"], r["ignored"]) for r in ops.majority_vote(df, "pred_sql", F.col("ok")).collect()}
-    assert got == {7: (1, 2, 1), 8: (None, 0, 1)}
+    df = spark.createDataFrame(
+        [(7, 0, "", True, False, 0), (7, 1, "x", True, True, 1), (7, 2, "x", True, True, 1), (7, 3, "z", False, False, 0), (8, 0, "y", False, False, 0), (9, 0, "bb", True, True, 0), (9, 1, "a", True, True, 1)],
+        "idx int, sample_id int, pred_sql string, ok boolean, some boolean, correct int",
+    )
+    votes = ops.majority_vote(df, "pred_sql", F.col("ok"), F.col("some"))
+    got = {r["idx"]: (r["winner"], r["votes"], r["voting"], r["ignored"]) for r in votes.collect()}
+    assert got == {7: (1, 2, 2, 1), 8: (None, 0, 0, 0), 9: (0, 1, 2, 0)}
+    assert tuple(ops.vote_summary(votes, df).first()) == (3, 2, 1, 1, 3, 4, 1, 100 / 3)
+    assert ops.vote_summary(votes.limit(0), df).first()["accuracy"] == 0.0
     import math
 
     for n, c, k in [(16, 3, 4), (5, 5, 2), (5, 0, 2), (4, 3, 2), (1, 1, 1), (3, 1, 0)]:
@@ -88,6 +123,55 @@ def test_votes_and_pass(spark):
         assert abs(got - want) < 1e-12
 
 
+def test_histograms_keep_every_prompt(spark):
+    df = spark.createDataFrame([(1, i, 1, True) for i in range(12)] + [(2, i, i % 2, i < 3) for i in range(4)] + [(3, 0, None, None)], "idx int, sample_id int, correct int, pred_executed boolean")
+    got = {r["num_correct"]: r["prompts"] for r in ops.correct_histogram(df, 8).collect()}
+    assert got == {**dict.fromkeys(range(9), 0), 0: 1, 2: 1, 12: 1}
+    probe = ops.heterogeneity_probe(df, 4).first()
+    assert (probe["prompts"], probe["all_correct"], probe["none_correct"], probe["heterogeneous"], probe["over_samples"]) == (3, 1, 1, 1, 1)
+    assert probe["correct_histogram"] == [1, 0, 1, 0, 0] and probe["executed_histogram"] == [1, 0, 0, 1, 0] and ops.heterogeneity_probe(df.limit(0), 2).first()["candidate_accuracy"] == 0.0
+
+
+def test_rewards(spark):
+    gold = "SELECT name FROM users WHERE age > 30"
+    tagged = "<scratch_pad>x</scratch_pad><final_answer><sql_code>{}</sql_code></final_answer>"
+    rows = [(1, tagged.format(gold), gold, gold, True, True, True), (2, "SELECT", "SELECT age FROM people", gold, True, False, False), (3, None, None, gold, None, None, None), (4, "w " * 200, gold, None, False, True, True)]
+    df = spark.createDataFrame(rows, "id int, completion string, pred_sql string, gold_sql string, ran boolean, equal boolean, any_value boolean")
+    got = {r["id"]: tuple(r[c] for c in ops.REWARDS) for r in ops.rewards(df, 100, 20).collect()}
+    assert got == {1: (1, 1, 1, 1, 1, 1, 0), 2: (0, 1, 0, 0, 0.5, 0, 0), 3: (0, 0, 0, 0, 0, 0, 0), 4: (0, 0, 0, 0, 0, 0, -1)}
+    best = ops.rewards(df, 100, 20).where("id = 1").select(ops.weighted_reward()).first()[0]
+    assert abs(best - 3.8) < 1e-9 and ops.rewards(df.limit(0), 100, 20).count() == 0
+
+
+def test_what_if_rewards(spark):
+    """Rewards of made-up answers, from a sound one to none at all: each step loses what it should."""
+    gold = "SELECT name FROM users WHERE age > 30"
+    tagged = "<scratch_pad>x</scratch_pad><final_answer><sql_code>{}</sql_code></final_answer>"
+    cases = [("right", tagged.format(gold), gold, True, True, True), ("bare", gold, gold, True, True, True), ("wrong rows", tagged.format("SELECT name FROM users"), "SELECT name FROM users", True, False, True), ("empty", tagged.format(gold), gold, True, False, False), ("broken", "SELEC", "SELEC", False, False, False)]
+    df = spark.createDataFrame([(c[0], c[1], c[2], gold, *c[3:]) for c in cases], "name string, completion string, pred_sql string, gold_sql string, ran boolean, equal boolean, any_value boolean")
+    got = {r["name"]: round(r["w"], 3) for r in ops.rewards(df, 100, 20).select("name", ops.weighted_reward().alias("w")).collect()}
+    assert got == {"right": 3.8, "bare": 3.6, "wrong rows": 1.55, "empty": 1.7, "broken": 0.0}
+
+
+def test_all_wrong(spark):
+    rows = [(1, 0, "a", 0, True, None, ["q", "p"], "finished"), (1, 1, "b", 0, False, "no such x\nmore", None, "max"), (1, 2, "b", None, False, "no such x", None, None), (1, 3, None, 0, False, "no such y", [], "max"), (2, 0, "a", 1, True, None, None, "finished")]
+    df = spark.createDataFrame(rows, "idx int, sample_id int, pred_sql string, correct int, pred_executed boolean, pred_error string, tool_order array<string>, stop_reason string")
+    (r,) = ops.all_wrong(df, 2).collect()
+    pairs = lambda c: [(x["value"], x["n"]) for x in r[c]]
+    assert (r["idx"], r["n"], r["distinct_sql"], r["executed"]) == (1, 4, 3, 1) and pairs("top_queries") == [("b", 2), ("a", 1)]
+    assert pairs("errors") == [("no such x", 2), ("no such y", 1)] and pairs("tools") == [("<none>", 3), ("q -> p", 1)] and pairs("stops") == [("max", 2), ("finished", 1), ("unknown", 1)]
+
+
+def test_iterative_oversample(spark):
+    make = lambda rows: spark.createDataFrame(rows, "g string, r double")
+    first, second, third = make([("a", 1.0), ("a", 0.0), ("b", 1.0), ("b", 1.0)]), make([("a", 0.0), ("a", 1.0), ("c", 0.0), ("c", 1.0)]), make([("d", 0.0), ("e", 0.0), ("e", 1.0)])
+    show = lambda df: [(r["g"], r["round"], r["slot"], r["is_padded"]) for r in df.orderBy("slot").collect()]
+    assert show(ops.iterative_oversample([first, second, third], "g", "r", 2)) == [("a", 0, 1, False), ("c", 1, 2, False)]
+    assert show(ops.iterative_oversample([first, second, third], "g", "r", 4)) == [("a", 0, 1, False), ("c", 1, 2, False), ("e", 2, 3, False), ("d", 2, 4, True)]
+    with pytest.raises(ValueError):
+        ops.iterative_oversample([], "g", "r", 1)
+
+
 def test_groups(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 0.0), ("b", 1.0), ("b", 1.0), ("c", 0.0)], "g string, r double")
     assert tuple(ops.reward_buckets(df, "g", "r").first()) == (3, 1, 1, 1)
@@ -105,6 +189,10 @@ def test_shards_and_queue(spark):
     assert [r["ks"] for r in got] == [[0, 2, 4], [1, 3]]
     assert [r["k"] for r in ops.replicate(df.limit(2), 3).orderBy("k", "rollout").collect()] == [0, 0, 0, 1, 1, 1]
     assert ops.tail_draw(8, 0, 1, 0, 3) == [7, 6, 5] and ops.tail_draw(8, 1, 1, 0, 3) == [4, 3, 2]
+    assert ops.tail_draws(8, 1, 3, 3) == [(0, [[7, 6, 5]]), (0, [[4, 3, 2]]), (1, [[7, 6, 5]])] and ops.tail_draws(0, 2, 1, 1) == [(0, [[], []])]
+    assert ops.tail_draws(20, 6, 2, 1)[0][1][1] == [17, 16] and ops.tail_draws(2, 1, 3, 1) == [(0, [[1, 0, 1]])]
+    orders = [tuple(r["k"] for r in ops.queue_order(df, "k", turn).orderBy("ordinal").collect()) for turn in (0, 1, 0)]
+    assert orders[0] == orders[2] and sorted(orders[0]) == sorted(orders[1]) == list(range(5))
     assert [ops.tail_draw(20, p, 6, 0, 2) for p in (0, 1)] == [[19, 18], [7, 6]] and ops.tail_draw(20, 0, 6, 1, 2) == [17, 16]
 
 
@@ -149,6 +237,19 @@ def test_records(spark, tmp_path):
     with pytest.raises(Exception, match="exists"):
         records.write_jsonl(df, out)
     assert records.markdown(df.orderBy("a"), 1) == "| a |\n| --- |\n| 1 |\n| and 1 more |"
+    summary = str(tmp_path / "summary.json")
+    records.write_json(spark.createDataFrame([(1, "é", None)], "a int, b string, c int"), summary)
+    assert open(summary, encoding="utf-8").read() == '[\n  {\n    "a": 1,\n    "b": "é",\n    "c": null\n  }\n]'
+    with pytest.raises(FileExistsError):
+        records.write_json(df, summary)
+    with pytest.raises(ValueError):
+        records.write_json(df, summary, overwrite=True, most=1)
+    five = spark.range(5)
+    assert [r[0] for r in records.selected(five, "id", 2, 1).collect()] == [1, 2] and records.selected(five, "id", -1, 3).count() == 2
+    assert records.selected(five, "id", 3, seed=4).collect() == records.selected(five.repartition(3), "id", 3, seed=4).collect()
+    with pytest.raises(ValueError, match="5 rows"):
+        records.selected(five, "id", 6)
+    assert records.default_paths("b", "dev", lambda p: True)["records"] == "b/dev/dev.json" and records.default_paths("b", "dev", lambda p: False)["databases"] == "b/dev_databases"
     with pytest.raises(ValueError, match="3"):
         records.merged_shards(df, spark.createDataFrame([(1,), (3,)], "a long"), "a")
 
@@ -163,5 +264,44 @@ def test_search(spark):
     assert search.value_search(values.limit(0), "v", "word", 5).count() == 0
 
 
+def test_few_shots_fill_up(spark):
+    """Records of other groups fill up with score 0, null groups included; a query takes none of its own group."""
+    rows = [(1, "red boat", "a"), (2, "red boat", "b"), (3, "none alike", "a"), (4, "other text", None), (5, "last one", "b")]
+    docs = spark.createDataFrame(rows, "id int, t string, g string")
+    asked = spark.createDataFrame([(10, "red", "b"), (11, "zzz", None), (12, "boat", "c")], "id int, t string, g string")
+    got = {}
+    for r in search.few_shots(docs, "id", F.col("t"), asked, "id", F.col("t"), 3, "g").orderBy("place").collect():
+        got.setdefault(r["query"], []).append((r["doc"], r["score"] > 0))
+    assert got == {10: [(1, True), (3, False), (4, False)], 11: [(1, False), (2, False), (3, False)], 12: [(1, True), (2, True), (3, False)]}
+
+
+def test_bm25_of_hot_words(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"the word{i % 7} the") for i in range(60)], "id int, t string")
+    asked = spark.createDataFrame([(1, "the word3")], "q int, s string")
+    score = lambda: sorted((r["doc"], round(r["score"], 9)) for r in search.bm25(docs, "id", F.col("t"), asked, "q", F.col("s")).collect())
+    plain = score()
+    monkeypatch.setattr(search, "HOT", 5)
+    assert score() == plain and len(plain) == 60
+
+
+def test_roots(spark, tmp_path):
+    assert catalog.roots(["a/", "b"], "b:c::") == ["a", "b", "c"] and catalog.roots(["a"], "b:c", first=False) == ["b", "c", "a"]
+    (tmp_path / "databases" / "shop").mkdir(parents=True)
+    assert catalog.resolve(spark, "shop", ["/no", str(tmp_path)]).endswith("databases/shop") and catalog.resolve(spark, "other", [str(tmp_path)]) == "" == catalog.resolve(spark, "", [str(tmp_path)])
+    assert catalog.resolve(spark, "shop", [str(tmp_path / "databases" / "shop")]).endswith("databases/shop")
+
+
+def test_released_tables_are_deleted(spark):
+    import os
+
+    from assay.plans import lineage
+
+    with lineage.released():
+        kept = lineage.cut(spark.range(3))
+        assert kept.count() == 3
+        path = lineage._written[-1][1]
+    assert not os.path.exists(path)
+
+
 def test_foreign_keys(spark):
     assert catalog.foreign_keys(spark).count() == len(catalog.STAR_KEYS)

@@ -12,9 +12,10 @@ _TAG = re.compile(r"</?[A-Za-z][\w-]*\s*/?>")
 _FENCE = re.compile(r"```[A-Za-z]*")
 _CLOSED = re.compile(r"(?:</[A-Za-z][\w-]*>|```)\s*$")
 _STATEMENT = re.compile(r"(?is)\b(?:select\s+(?:distinct\s+)?(?=[^.?!]{1,400})(?:[\w`\"\[.(*]|case\b))|(?<![\w])with\s+\w+\s+as\s*\(")
-_FULL = re.compile(r"(?is)\bselect\b.{1,4000}?\bfrom\s+[\w`\"\[]")
+_SELECT, _FROM = re.compile(r"(?i)\bselect\b"), re.compile(r"(?i)\bfrom\s+[\w`\"\[]")
 _TOKEN = re.compile(r"'(?:[^']|'')*'|\"[^\"]*\"|`[^`]*`|\w+|[<>=!]+|[^\s\w]")
-_QUOTED = re.compile(r"'[^'\n]{1,80}'|\"[^\"\n]{1,200}\"|`[^`\n]{1,80}`|«[^»\n]*»|“[^”\n]*”|「[^」\n]*」|‘[^’\n]*’")
+#: Quoted values of any length; a single quote begins one only where no word ends, so that an apostrophe doesn't.
+_QUOTED = re.compile(r"(?<!\w)'[^'\n]+'(?!\w)|\"[^\"\n]+\"|`[^`\n]+`|«[^»\n]*»|“[^”\n]*”|「[^」\n]*」|‘[^’\n]*’")
 _WORDS = re.compile(r"[^\W\d_]+")
 
 #: Frequent function words; of the other languages those that English prose has no use for.
@@ -34,12 +35,10 @@ FOREIGN = frozenset(
     "het een en van niet zijn wordt voor met op naar ook alleen och att det som för med på inte är av till og ikke er af".split()
 ) - ENGLISH
 
-#: Wording by which an answer declines.
+#: General wording by which an answer declines; only hints, as the label model also goes by an answer's form.
 DECLINES = re.compile(
-    r"(?i)\b(?:sorry|apolog\w+|regret\w*|unfortunately|afraid|cannot|can ?not|can['’]t|won['’]t|unable|not able|refus\w+|declin\w+|den(?:y|ied)|not (?:allowed|permitted|possible|comfortable|something)|"
-    r"rather not|must pass|pass\.|off limits|against (?:my|what)|polic(?:y|ies)|guidelines?|permissions?|restricted|private|protected|sensitive|blocked|stay away|not authori[sz]ed|has to end|"
-    r"someone else|without an answer|shall not|will not|do not write|no answer|no statement|not continue|falls outside|talk about something else|instructions prevent|no access|contact|"
-    r"not going to|not in a position|beyond what|above my|must not|keep it that way|no\.)"
+    r"(?i)\b(?:sorry|apolog\w+|regret\w*|unfortunately|afraid|cannot|can ?not|can['’]t|won['’]t|unable|not able|refus\w+|declin\w+|den(?:y|ied)|not (?:allowed|permitted|possible|comfortable|authori[sz]ed|going to)|"
+    r"(?:would|will|shall|must|do|does|may) not|rather not|polic(?:y|ies)|guidelines?|permissions?|restricted|private|protected|sensitive|blocked|off limits|prevents?|no (?:answer|statement|access))\b"
 )
 
 #: Words after which a statement can't end.
@@ -64,6 +63,12 @@ def statement_of(text: str) -> str | None:
     return None if at is None else text[at:]
 
 
+def full_statement(text: str) -> bool:
+    """Whether a SELECT is followed, however far on, by FROM and a name."""
+    begin = _SELECT.search(text)
+    return bool(begin and _FROM.search(text, begin.end() + 1))
+
+
 def prose_of(text: str) -> str:
     """An answer without statements, markup and quoted values."""
     text = re.sub(r"(?is)```(?:sql)?.*?(?:```|$)", " ", text)
@@ -142,7 +147,7 @@ def features(text: str | None, pred_sql: str | None, gold_sql: str | None) -> di
     text = text or ""
     rest = bare(text)
     statement = statement_of(text)
-    full = bool(statement and _FULL.search(text))
+    full = bool(statement and full_statement(text))
     prose = prose_of(text) if rest else ""
     words = [w.lower() for w in _WORDS.findall(prose)]
     letters = sum(map(len, words))

@@ -19,11 +19,14 @@ from pyspark.sql import functions as F
 from ..plans.lineage import cut
 from .answers import features
 
-#: Posteriors above which a label is given. Validated on the labelled answers of tests/llm/test_llm.py, where every value from 0.2 to 0.6 gives the same labels.
+#: Posteriors above which a label is given: near the middle of what choose_cutoffs finds on the labelled answers of tests/llm/test_llm.py; judged there on others.
 CUTOFFS = {"empty": 0.5, "other_language": 0.5, "copied_question": 0.5, "truncated": 0.5, "refusal": 0.5}
 #: Of several labels the one of greatest posterior is the main one; posteriors that differ by less than 0.1 count as equal, then the first here is.
 ORDER = ("empty", "copied_question", "other_language", "truncated", "refusal")
 
+#: Rows' worth of weight that an assumed accuracy has against what EM finds for a function, on defective and on sound rows each.
+PRIOR = 1000.0
+
 _FLAGS = ["empty", "full", "statement", "foreign_script", "declines", "tail_open", "sql_word"]
 _NUMBERS = ["closed", "ends", "names", "words", "english", "foreign"]
 _SCHEMA = pa.schema(
@@ -65,7 +68,7 @@ def labelling_functions() -> dict[str, list[tuple[Column, float]]]:
     return {
         "empty": [
             (_vote(c("empty"), ~c("empty")), 0.999),
-            (_vote(no_sql, has_sql), 0.7),
+            (_vote(no_sql & (c("words") == 0), has_sql | (c("words") > 0)), 0.9),
             (_vote(c("tokens") <= 12, c("tokens") > 60), 0.6),
         ],
         "copied_question": [
@@ -74,14 +77,14 @@ def labelling_functions() -> dict[str, list[tuple[Column, float]]]:
             (_vote(no_sql, has_sql), 0.7),
         ],
         "other_language": [
+            # what letters or function words say, and how little English there is
             (_vote(foreign, english & (c("words") >= 4)), 0.999),
-            (_vote(c("foreign_script"), None), 0.99),
-            (_vote((c("words") >= 6) & few, c("english") > 0.2 * c("words")), 0.9),
+            (_vote((c("words") >= 4) & few, c("english") > 0.2 * c("words")), 0.9),
         ],
         "truncated": [
-            (_vote((c("closed") < 0) & ~copy & ~c("empty"), c("closed") > 0), 0.995),
+            (_vote((c("closed") < 0) & ~copy & ~c("empty"), c("closed") > 0), 0.999),
             (_vote(raw & ~copy & (c("ends") < 0), raw & c("full") & (c("ends") > 0)), 0.999),
-            (_vote(talk & c("tail_open"), talk & ~c("tail_open") & (c("closed") >= 0)), 0.995),
+            (_vote(talk & c("tail_open"), talk & ~c("tail_open") & (c("closed") >= 0)), 0.999),
             (_vote(raw & (c("names") < 0), None), 0.8),
             (_vote(c("stop_reason") == "max_new_tokens", c("stop_reason") == "finished"), 0.6),
             (_vote(None, c("empty") | copy), 0.999),
@@ -96,12 +99,12 @@ def labelling_functions() -> dict[str, list[tuple[Column, float]]]:
     }
 
 
-def fit(patterns: dict[str, int], right: list[float], rounds: int = 200, trust: float = 1.0) -> dict[str, float]:
+def fit(patterns: dict[str, int], right: list[float], rounds: int = 200, prior: float = PRIOR) -> dict[str, float]:
     """Posterior of the defect for each pattern of votes, by EM from the functions' assumed accuracies.
 
     A function has a rate of being right on defective and one on sound rows, of the rows it votes on: votes count as independent given
-    the class, and not voting says nothing. In each round the rates are drawn to the assumed accuracy with trust times the weight of the
-    class, so that a function that seldom votes isn't turned round by its own few votes, and the class stays the defect it was written for.
+    the class, and not voting says nothing. In each round the rates are drawn to the assumed accuracy as if prior rows had shown it, so that a
+    function that seldom votes isn't turned round by its own few votes; where there are many rows, what they say prevails.
     """
     unvoted = {k: 0.0 for k in patterns if not k.strip("0")}  # nothing speaks for a defect there, and they tell nothing about its share
     keys = sorted(k for k in patterns if k not in unvoted)
@@ -121,13 +124,28 @@ def fit(patterns: dict[str, int], right: list[float], rounds: int = 200, trust:
         share = float(np.clip((n * post).sum() / n.sum(), 1e-5, 0.5))
         for weight, good, bad, rate in ((n * post, plus, minus, on_defective), (n * (1 - post), minus, plus, on_sound)):
             cast = weight @ (good + bad)
-            held = trust * weight.sum() + 1
+            held = prior + 1
             rate[:] = np.clip((weight @ good + guess * held) / (cast + held), 0.5, 0.9999)
         if moved < 1e-9:
             break
     return unvoted | dict(zip(keys, post.tolist()))
 
 
+def choose_cutoffs(posteriors: list[tuple[int, str, float]], truth: dict[int, str | None], steps: int = 20) -> dict[str, float]:
+    """For each defect the cutoff of most F1 on labelled answers, the middle of all that reach it; posteriors are (candidate_id, defect, posterior)."""
+    out = {}
+    for d in ORDER:
+        known = {k: p for k, e, p in posteriors if e == d}
+        scores = []
+        for step in range(1, steps):
+            given = {k for k, p in known.items() if p > step / steps}
+            right = sum(truth.get(k) == d for k in given)
+            scores.append(2 * right / max(1, len(given) + sum(v == d for v in truth.values())))
+        best = [i for i, x in enumerate(scores, 1) if x >= max(scores) - 1e-12]
+        out[d] = best[len(best) // 2] / steps
+    return out
+
+
 def answer_features(answers: DataFrame, questions: DataFrame, hot_rows: int = 10_000) -> DataFrame:
     """What the functions vote on, one row for each answer; given: the greatest part of a question's words that the answer has, own: the part of the answer's
     words that are that question's. Both are null where the answer has a statement, or no text, or no question is known."""

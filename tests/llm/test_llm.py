@@ -36,13 +36,28 @@ ANSWERS = [
 ]
 
 
+#: Answers of other wording than ANSWERS, on which the cutoffs chosen there are judged.
+HELD_OUT = [
+    ("\u200b\u200b", "empty"), ("<scratch_pad></scratch_pad>", "empty"), ("---\n***", "empty"), ("```\n\n```\n", "empty"), ("?!", "empty"),
+    ("SELECT tonnage FROM boats WHERE home_port", "truncated"), ("```sql\nSELECT tonnage FROM boats WHERE home_port = 'Varholm' OR", "truncated"), ("WITH x AS (SELECT boat_id FROM boats WHERE tonnage >", "truncated"), ("Only ferries count here, so the filter on tonnage has to come befo", "truncated"),
+    ("<final_answer><sql_code>SELECT COUNT(boat_id) FROM boats WHERE home_port = 'Varholm'", "truncated"), ("SELECT boat_id, COUNT(*) FROM boats GROUP BY", "truncated"), ("SELECT MAX(tonnage", "truncated"),
+    ("I am unable to provide that.", "refusal"), ("My guidelines do not permit this.", "refusal"), ("Sorry, no.", "refusal"), ("This is nothing I will write a query for.", "refusal"), ("Please ask a colleague for that one.", "refusal"), ("<final_answer>I must decline to answer.</final_answer>", "refusal"),
+    ("So: " + QUESTION, "copied_question"), (QUESTION.upper(), "copied_question"), (f"> {QUESTION}\n", "copied_question"), (QUESTION.replace("How many", "Count how many"), "copied_question"),
+    ("On compte les bateaux dont le port est Varholm et on ne garde que les plus lourds.", "other_language"), ("Si contano le barche con il porto di Varholm e poi non resta che la somma.", "other_language"), ("Najpierw filtruję statki, które są w porcie, a potem liczę je dla każdego wiersza.", "other_language"),
+    ("Önce limanı Varholm olan gemiler seçilir ve sonra sayılır, bu kadar.", "other_language"), (f"우선 배를 거른 다음 남은 것을 셉니다.\n{GOLD}", "other_language"), (f"Erst werden die Schiffe gefiltert und dann wird gezählt.\n```sql\n{GOLD}\n```", "other_language"),
+    (GOLD.lower(), None), (f"Only boats of one port are counted, and both conditions must hold.\n{GOLD};", None), (f"<final_answer><sql_code>{GOLD}</sql_code></final_answer>", None), (f"The port is called 'Порт' in the table.\n```sql\n{GOLD}\n```", None),
+    (f"I would not use a join for this, since one table has it all.\n```sql\n{GOLD}\n```", None), ("SELECT " + ", ".join(f"column_{i}" for i in range(1200)) + " FROM boats", None), (f'The note reads "{"w" * 400}".\n{GOLD}', None), ("SELECT COUNT(*) FROM boats ORDER BY tonnage ASC", None),
+]
+
+
 @pytest.fixture(scope="module")
 def answered(spark):
     rows = []
     for copy in range(8):  # the label model is fitted on counts
-        for i, (text, _) in enumerate(ANSWERS):
+        for i, (text, label) in enumerate(ANSWERS + HELD_OUT):
             sql = None if text is None or not answers.statement_of(text) else text
-            rows.append((copy * 100 + i, 7, text, sql, GOLD, "max_new_tokens" if (i + copy) % 5 == 0 else "finished", None if copy == 3 else len(text or "") // 4))
+            limit = (i + copy) % 2 == 0 if label == "truncated" else (i + copy) % 10 == 0
+            rows.append((copy * 100 + i, 7, text, sql, GOLD, "max_new_tokens" if limit else "finished", None if copy == 3 else len(text or "") // 4))
         for i in range(300):
             rows.append((10_000 + copy * 1000 + i, 7, GOLD, GOLD, GOLD, "finished", 30))
     df = spark.createDataFrame(rows, "candidate_id long, idx int, prediction_text string, pred_sql string, gold_sql string, stop_reason string, completion_token_count int")
@@ -55,15 +70,22 @@ def test_defects(answered):
     assert not wrong and not [k for k in got if k >= 10_000]
 
 
-def test_cutoffs_are_validated(answered):
-    post = defects.posteriors(*answered).where("candidate_id < 10000").collect()
-    for value in (0.2, 0.5, 0.6):
-        main: dict[int, tuple] = {}
-        for r in post:
-            if r["posterior"] > value:
-                key = (-int(r["posterior"] * 10), defects.ORDER.index(r["defect"]))
-                main[r["candidate_id"]] = min(main.get(r["candidate_id"], (key, r["defect"])), (key, r["defect"]))
-        assert all((main.get(c * 100 + i, (0, None))[1]) == ANSWERS[i][1] for c in range(8) for i in range(len(ANSWERS)))
+def test_cutoffs_are_chosen_on_one_set_and_judged_on_another(answered):
+    """The cutoffs are what ANSWERS give; of HELD_OUT, which they never saw, at least nine in ten labels are right."""
+    post = [(r["candidate_id"], r["defect"], r["posterior"]) for r in defects.posteriors(*answered).where("candidate_id < 10000").collect()]
+    n, both = len(ANSWERS), ANSWERS + HELD_OUT
+    truth = {c * 100 + i: both[i][1] for c in range(8) for i in range(n)}
+    chosen = defects.choose_cutoffs([x for x in post if x[0] in truth], truth)
+    assert all(abs(chosen[d] - v) <= 0.35 for d, v in defects.CUTOFFS.items()), chosen
+    main: dict[int, tuple] = {}
+    for k, d, p in post:
+        if p > defects.CUTOFFS[d]:
+            key = (-int(p * 10), defects.ORDER.index(d))
+            main[k] = min(main.get(k, (key, d)), (key, d))
+    cases = [(both[i], main.get(c * 100 + i, (0, None))[1]) for c in range(8) for i in range(n, len(both))]
+    right = sum(x[1] == got for x, got in cases)
+    print(f"held out: {right} of {len(cases)} right", sorted({(x[0][:40], x[1], got) for x, got in cases if x[1] != got}, key=str))
+    assert right >= 0.9 * len(cases)
 
 
 def test_hot_questions_are_salted(answered):

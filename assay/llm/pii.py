@@ -25,6 +25,8 @@ _DOT = r"(?:\s*[\(\[\{<]\s*(?:dot|DOT|Dot)\s*[\)\]\}>]\s*|\s+(?:dot|DOT|Dot|punk
 _AT = r"(?:\s*[\(\[\{<]\s*(?:at|AT|At|ät|@)\s*[\)\]\}>]\s*|\s+(?:at|AT|At|arroba|arobase)\s+|\s+@\s+)"
 _SPOKEN = re.compile(rf"(?<![\w.+%-])[\w+%-]+(?:{_DOT}[\w+%-]+)*({_AT})[\w-]+(?:{_DOT}[\w-]+)+(?![\w-])")
 _AT_SIGN = re.compile(r"(?i)[\s(\[{<](?:at|ät|arroba|arobase|@)[\s)\]}>]")
+_DOT_BEFORE = re.compile(r"(?i)(?:\b(?:dot|punkt|point|punto)|\.)[)\]}>]?\s*$")
+_DOT_BEHIND = re.compile(r"(?i)\s*[(\[{<]?\s*(?:(?:dot|punkt|point|punto)\b|\.\w)")
 #: Last parts a written-out address may end in.
 _TOP = frozenset("com org net edu gov info io example test invalid local de fr es it nl pl uk eu us jp cn tr se at ch be pt".split())
 
@@ -51,7 +53,7 @@ _IDS = [
 #: Words near a personal number.
 _ID_NEAR = re.compile(
     r"(?i)\b(?:ssn|social|insurance|national[_ ]?id|id card|identity|identit\w+|passport|passeport|pasaporte|reisepass|ausweis|personal (?:number|no)|citizen\w*|tax|steuer\w*|nino|nif|nie|dni|insee|applicant|"
-    r"kennzahl|versichert\w*|assuré\w*|sécurité|seguridad|personalausweis|kimlik|tc|patient|resident|id)\b|身份证|护照|身分証|旅券|هوية|جواز"
+    r"kennzahl|versichert\w*|assuré\w*|asegurad\w*|document\w*|sécurité|seguridad|personalausweis|kimlik|tc|patient|resident|id)\b|身份证|护照|身分証|旅券|هوية|جواز"
 )
 #: Words beside numbers that identify nobody.
 _NOT_PERSON = re.compile(r"(?i)\b(?:row|rows|value|offset|version|build|section|range|commit|batch|overflows|took|matched|cells|seconds|sheet|folio|report|ledger|memo|key|code)\W*$")
@@ -86,17 +88,27 @@ _NAMES = [
     ("low", re.compile(rf"(?<![\w.'’-])(?P<g>{_L}{{2,}}|{_L}\.)(?P<gap>\s{{1,2}})(?:{_L}\. ?)?(?P<f>(?:{_PARTICLE} )*(?:al-|el-|mac|mc|o['’])?{_L}{{3,}}(?:-{_L}+)*)(?![\w@]|-\d)")),
     ("lowlast", re.compile(rf"(?<![\w.'’-])(?P<f>(?:{_PARTICLE} )*{_L}{{3,}}(?:-{_L}+)*),(?P<gap> ?)(?P<g>{_L}{{2,}}|{_L}\.)(?: {_L}\.)?(?![\w@]|-\d)")),
 ]
-#: What stands right before or after a person's name.
-_CUE_BEFORE = re.compile(
-    r"(?i)(?:\b(?:written by|annotated by|reviewed (?:with|by)|according to|thanks to|lunch with|ask|signed,?|owner:?|author:?|contact:?|asked|by dr|said|cc|from|with|for|to)\s|"
-    r"\b(?:mr|mrs|ms|miss|dr|prof|frau|herr|mme|mlle|m|don|doña|señora?|sra?|sir|bay|bayan)\.?\s|\b(?:geprüft von|relu par|revisado por|selon|laut|según|por|par|von|durch|de parte de)\s|@|"
-    r"[\"'](?:reader|name|full_name|owner|author|user|annotator)[\"']\s*:\s*[\"']|(?:full_name|name|reader|owner)\s*=\s*[\"']|[|;]\s?|[(])$"
-)
+#: What stands right before or after a person's name: verbs with "by" or "with", titles, headings of fields; after it verbs of what persons do.
+_DONE_BY = r"(?:written|annotated|reviewed|signed|approved|checked|prepared|reported|sent|filed|edited|tested|posted|labell?ed|said|made|seen)"
+_DONE_WITH = r"(?:lunch|dinner|coffee|meeting|call|met|meet|spoke|speak|talk(?:ed)?|work(?:ed|s)?|agreed|discussed|checked|reviewed)"
 _CUE_STRONG = re.compile(
-    r"(?i)(?:\b(?:written by|annotated by|reviewed with|according to|thanks to|had lunch with|signed,|owner:|ask)\s|\b(?:mr|mrs|ms|miss|dr|prof|frau|herr|mme|mlle|don|doña|señora|señor)\.?\s|"
+    rf"(?i)(?:\b(?:{_DONE_BY} by|{_DONE_WITH} with|according to|thanks to|signed,|owner:|ask)\s|\b(?:mr|mrs|ms|miss|dr|prof|frau|herr|mme|mlle|don|doña|señora|señor)\.?\s|"
     r"\b(?:geprüft von|relu par|revisado por|selon|laut|según)\s|@|[\"'](?:reader|full_name)[\"']\s*:\s*[\"']|full_name\s*=\s*[\"'])$"
 )
+_CUE_BEFORE = re.compile(
+    rf"(?i)(?:\b(?:{_DONE_BY} by|{_DONE_WITH} with|according to|thanks to|ask|signed,?|owner:?|author:?|contact:?|asked|by dr|said|cc|from|with|for|to)\s|"
+    r"\b(?:mr|mrs|ms|miss|dr|prof|frau|herr|mme|mlle|m|don|doña|señora?|sra?|sir|bay|bayan)\.?\s|\b(?:geprüft von|relu par|revisado por|selon|laut|según|por|par|von|durch|de parte de)\s|@|"
+    r"[\"'](?:reader|name|full_name|owner|author|user|annotator)[\"']\s*:\s*[\"']|(?:full_name|name|reader|owner)\s*=\s*[\"']|[|;]\s?|[(]|\n--\s+|\s--\s*\n\s*|\b(?:gruß|grüße|regards|cheers|saludos|cordialement|salutations),?\s+)$"
+)
 _CUES = re.compile(_CUE_STRONG.pattern[:-1])
+_CUE_AFTER = re.compile(
+    r"(?i)^(?:\s(?:please|reported|asked|said|says|wrote|noted|thinks|told|confirmed|agreed|suggested|found|saw|for \w+ing|and (?:i|we|she|he|they)|on (?:mon|tues|wednes|thurs|fri|satur|sun)day|"
+    r"confirme|confirma|lo confirma|bestätigt|hat den|a signalé|avisó|stimmt)\b|[\"']\s*\}|\s?[|;]|, the \w+|, c['’]est|, vale)"
+)
+#: Words after a capitalised pair which show that it names a place or thing, and words that are no part of a name.
+_PLACES = "quay point hill green basin locks reach spit yard town bay port park bridge beach lake river valley island harbour harbor station market hall farm mill wharf pier dock dump"
+_PLACE_AFTER = re.compile(rf"(?i)^(?:\s(?:{_AFTER}|index|south|north|east|west|{'|'.join(_PLACES.split())})\b|-\d)")
+_PLACE_WORDS = frozenset((_PLACES + " old south north east west upper lower road street lane avenue ave court close terrace crescent way rd st the and no select from where model").split())
 #: Words of strong cues: only beside one of them a cue is looked for.
 _CUE_WORDS = frozenset("by with to signed owner ask mr mrs ms miss dr prof frau herr mme mlle don doña señora señor von par por selon laut según reader name".split())
 _WORD = re.compile(r"[^\W\d_]+")
@@ -110,10 +122,6 @@ _BEFORE_WORDS = frozenset(w.strip("\\./") for w in (_BEFORE_FR[3:-1] + "|" + _BE
 _AT_WORDS = frozenset(("at", "ät", "arroba", "arobase"))
 _GERMAN_ENDS = ("straße", "strasse", "str", "weg", "gasse", "platz", "allee", "ufer", "damm", "ring", "steig")
 _STEP = re.compile(r"\w*[^\w]?")
-_CUE_AFTER = re.compile(r"(?i)^(?:\s(?:please recheck|reported|asked|for spotting|and we agreed|on tuesday|confirme|confirma|lo confirma|bestätigt|hat den|a signalé|avisó|stimmt)\b|[\"']\s*\}|\s?[|;]|, the join|, c['’]est|, vale)")
-#: Words after a capitalised pair which show that it names a place or thing, and words that are no part of a name.
-_PLACE_AFTER = re.compile(rf"(?i)^(?:\s(?:{_AFTER}|index|quay|point|hill|green|basin|locks|reach|spit|yard|town|south|north|dump|road)\b|-\d)")
-_PLACE_WORDS = frozenset("quay point hill green basin locks reach spit yard town old south north east west upper lower road street lane avenue ave court close terrace crescent way rd st the and no select from where model".split())
 
 
 def _luhn(digits: str) -> bool:
@@ -209,25 +217,33 @@ class Finder:
         for a, b in sorted(signs):
             if a <= done or not _AT_SIGN.match(text, a - 1):
                 continue
-            # the stretch in which an address around this sign may lie grows until what is found there ends before its edges
+            # the stretch in which an address around this sign may lie grows until what is found there doesn't go on beyond its edges
             reach = 80
             while True:
                 low, high = max(0, a - reach), min(len(text), b + reach)
-                m = next((m for m in _SPOKEN.finditer(text, low, high) if m.start(1) <= a < m.end(1)), None)
-                left = low == 0 or (m.start() > low + 1 if m else text[low:a].rstrip("([{< ").count(" ") > 0 and not re.search(r"(?i)(?:dot|punkt|point|punto|\.)\W*$", text[low : low + 12]))
-                right = high == len(text) or (m.end() < high - 1 if m else True)
-                if left and right:
+                while low and not text[low - 1].isspace():
+                    low -= 1
+                while high < len(text) and not text[high].isspace():
+                    high += 1
+                at, m = low, None
+                while (m := _SPOKEN.search(text, at, high)) and m.end(1) <= a:  # an earlier sign's; this one's may begin within it
+                    at = _STEP.match(text, m.start()).end()
+                if m and m.start(1) > a:
+                    m = None
+                start, end = (m.start(), m.end()) if m else (low, high)
+                if (low == 0 or not _DOT_BEFORE.search(text, max(0, start - 24), start)) and (high == len(text) or not _DOT_BEHIND.match(text, end)):
                     break
                 reach *= 4
             if m:
-                done = m.end()
                 start, found = m.start(), m.group()
                 last = re.split(r"\W+", found)[-1].lower()
                 bare = m.group(1).strip().lower() in ("at", "arroba", "arobase", "@")
                 written = bool(re.search(r"(?i)[\s(\[](?:dot|punkt|punto)[\s)\]]", found[m.end(1) - start :]))
                 if last in _TOP and (written or not bare):
+                    done = m.end()
                     yield "email", start, m.end(), 2.5
                 elif last in _TOP and re.search(r"(?i)mailto:$|contact|reply", text[max(0, start - 20) : start]):
+                    done = m.end()
                     yield "email", start, m.end(), 1.5
 
     @staticmethod
@@ -260,7 +276,7 @@ class Finder:
         for kind, pattern, place in ((k, p, x) for x in places for k, p in _IDS):
             for m in pattern.finditer(text, *place):
                 near = bool(_ID_NEAR.search(text[max(0, m.start() - NEAR) : m.start()]) or _ID_NEAR.search(text[m.end() : m.end() + NEAR // 2]))
-                score = {"digits9": 1.0, "insurance": 1.2, "digits11": 0.2, "digits15": 0.6, "letter23": 0.6, "card": -0.5, "coded": -0.3, "plain": -0.8}[kind] + 1.0 * near
+                score = {"digits9": 1.0, "insurance": 1.2, "digits11": 0.2, "digits15": 0.6, "letter23": 0.6, "card": -0.5, "coded": 0.0, "plain": -0.8}[kind] + 1.0 * near
                 right = _valid(kind, m.group())
                 if right is not None:
                     score += 0.6 if right else -0.4
@@ -389,7 +405,7 @@ class Finder:
                 continue
             if given + family == 0 and not follow:
                 score -= 0.3
-            if re.search(r"\d\s$", before) and not before.endswith(("; ", "| ")):
+            if re.search(r"\d\s$", before) and not follow and not before.endswith(("; ", "| ")):
                 score -= 0.8
             yield "name", start, end, score
 

@@ -25,6 +25,7 @@ _DOT = r"(?:\s*[\(\[\{<]\s*(?:dot|DOT|Dot)\s*[\)\]\}>]\s*|\s+(?:dot|DOT|Dot|punk
 _AT = r"(?:\s*[\(\[\{<]\s*(?:at|AT|At|ät|@)\s*[\)\]\}>]\s*|\s+(?:at|AT|At|arroba|arobase)\s+|\s+@\s+)"
 _SPOKEN = re.compile(rf"(?<![\w.+%-])[\w+%-]+(?:{_DOT}[\w+%-]+)*({_AT})[\w-]+(?:{_DOT}[\w-]+)+(?![\w-])")
 _AT_SIGN = re.compile(r"(?i)[\s(\[{<](?:at|ät|arroba|arobase|@)[\s)\]}>]")
+_HOST = re.compile(rf"\s*[)\]}}>]?\s*[\w-]+{_DOT}[\w-]+")
 _DOT_BEFORE = re.compile(r"(?i)(?:\b(?:dot|punkt|point|punto)|\.)[)\]}>]?\s*$")
 _DOT_BEHIND = re.compile(r"(?i)\s*[(\[{<]?\s*(?:(?:dot|punkt|point|punto)\b|\.\w)")
 #: Last parts a written-out address may end in.
@@ -111,6 +112,8 @@ _PLACE_AFTER = re.compile(rf"(?i)^(?:\s(?:{_AFTER}|index|south|north|east|west|{
 _PLACE_WORDS = frozenset((_PLACES + " old south north east west upper lower road street lane avenue ave court close terrace crescent way rd st the and no select from where model").split())
 #: Words of strong cues: only beside one of them a cue is looked for.
 _CUE_WORDS = frozenset("by with to signed owner ask mr mrs ms miss dr prof frau herr mme mlle don doña señora señor von par por selon laut según reader name".split())
+#: Of these one is a cue only behind a word that takes it.
+_LINKS, _LINKED = frozenset(("by", "with", "to")), re.compile(rf"(?i)\W*(?:{_DONE_BY}|{_DONE_WITH}|according|thanks)")
 _WORD = re.compile(r"[^\W\d_]+")
 #: Six digits or more that belong together: no telephone or personal number has fewer.
 _MANY_DIGITS = re.compile(r"\d(?:[^\w\n]{0,3}\d){5,}")
@@ -121,6 +124,8 @@ _AFTER_WORDS = frozenset(_AFTER[3:-1].split("|"))
 _BEFORE_WORDS = frozenset(w.strip("\\./") for w in (_BEFORE_FR[3:-1] + "|" + _BEFORE_ES[3:-1]).split("|"))
 _AT_WORDS = frozenset(("at", "ät", "arroba", "arobase"))
 _GERMAN_ENDS = ("straße", "strasse", "str", "weg", "gasse", "platz", "allee", "ufer", "damm", "ring", "steig")
+_PARTICLES = re.compile(rf"(?i)^(?:{_PARTICLE} )+")
+_HEADS, _BETWEEN, _NUMBERED = re.compile(r"^(?:al-|el-|d['’]|l['’]|o['’]|mac(?=.{4})|mc)"), re.compile(r"[-\s]"), re.compile(r"\d\s$")
 _STEP = re.compile(r"\w*[^\w]?")
 
 
@@ -215,7 +220,7 @@ class Finder:
             at = text.find("@", at + 1)
         done = -1
         for a, b in sorted(signs):
-            if a <= done or not _AT_SIGN.match(text, a - 1):
+            if a <= done or not _AT_SIGN.match(text, a - 1) or not _HOST.match(text, b):
                 continue
             # the stretch in which an address around this sign may lie grows until what is found there doesn't go on beyond its edges
             reach = 80
@@ -324,7 +329,7 @@ class Finder:
                 yield "address", m.start(), m.end(), 1.0
 
     def _known(self, word: str, lexicon: set[str]) -> float:
-        parts = [p for p in re.split(r"[-\s]", re.sub(r"^(?:al-|el-|d['’]|l['’]|o['’]|mac(?=.{4})|mc)", "", word.lower())) if len(p) > 1]
+        parts = [p for p in _BETWEEN.split(_HEADS.sub("", word.lower())) if len(p) > 1]
         if not parts:
             return 0.0
         known = [p for p in parts if p in lexicon]
@@ -347,7 +352,7 @@ class Finder:
     def _stretches(self, text: str, words: list[tuple[int, int, int]]) -> list[list[int]]:
         """[start, end, has a known word in small letters] of what lies around known words and strong cues."""
         hits = [(a, b, text[a].islower()) for f, a, b in words if f & _NAME]
-        cues = [(a, b) for f, a, b in words if f & _CUE]
+        cues = [(a, b) for f, a, b in words if f & _CUE and (text[a:b].lower() not in _LINKS or _LINKED.fullmatch(text[text.rfind(" ", 0, max(0, a - 1)) + 1 : max(0, a - 1)]))]
         at = text.find("@")
         while at >= 0:
             hits.append((at + 1, at + 1, False))
@@ -384,7 +389,7 @@ class Finder:
             if g.lower().rstrip(".") in _TITLES and len(g.rstrip(".")) > 1 or g.lower() in _PLACE_WORDS or f.split()[-1].lower() in _PLACE_WORDS and f.split()[-1].lower() not in self.family:
                 continue
             initial = g.endswith(".")
-            given, family = (0.0 if initial else self._known(g, self.given)), self._known(re.sub(rf"^(?:{_PARTICLE} )+", "", f, flags=re.I), self.family)
+            given, family = (0.0 if initial else self._known(g, self.given)), self._known(_PARTICLES.sub("", f), self.family)
             before, after = text[max(0, start - 32) : start], text[end : end + 24]
             strong = bool(_CUE_STRONG.search(before)) and not (initial and "." not in g)
             cue = strong or bool(_CUE_BEFORE.search(before))
@@ -405,7 +410,7 @@ class Finder:
                 continue
             if given + family == 0 and not follow:
                 score -= 0.3
-            if re.search(r"\d\s$", before) and not follow and not before.endswith(("; ", "| ")):
+            if _NUMBERED.search(before) and not follow and not before.endswith(("; ", "| ")):
                 score -= 0.8
             yield "name", start, end, score
 

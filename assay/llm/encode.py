@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,9 +47,9 @@ class TrieEncoder:
     def __init__(self, vocabulary: bytes) -> None:
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines() if line.strip())}
         self.tokens = {i: t for t, i in self.ranks.items()}
-        self.longest: dict[int, int] = {}
+        self.longest: dict[bytes, int] = {}  # of the tokens that end in two given bytes the length of the longest
         for token in self.ranks:
-            self.longest[token[-1]] = max(self.longest.get(token[-1], 0), len(token))
+            self.longest[token[-2:]] = max(self.longest.get(token[-2:], 0), len(token))
         self.split = regex.compile(PATTERN).findall
         self.pairs: dict[tuple[int, int], bool] = {}
         self.whole: dict[int, bool] = {}
@@ -81,65 +82,54 @@ class TrieEncoder:
         return self.pairs[left, right]
 
     def learn(self, words: list[str]) -> None:
-        """Inserts words into the trie, gives each new node its last token depth first, and keeps the words' ids."""
-        steps, last, before = self.steps, self.last, self.before
-        ends = {}
+        """Inserts words into the trie in order, so depth first; a new node gets its last token from the states on its path, a known one keeps its
+        own. The words' ids are kept."""
+        steps, last, before, ranks, longest = self.steps, self.last, self.before, self.ranks, self.longest
         for word in sorted(words):
-            node = 0
-            for byte in word.encode("utf-8", "surrogatepass"):
+            text = word.encode("utf-8", "surrogatepass")
+            nodes, node = [0], 0
+            for depth, byte in enumerate(text):
                 child = steps[node].get(byte)
                 if child is None:
                     child = steps[node][byte] = len(steps)
                     steps.append({})
-                    last.append(-1)
-                    before.append(-1)
-                node = child
-            ends[word] = node
-        path, nodes = bytearray(), [0]
-        stack = [(0, 0, iter(steps[0].items()))]
-        while stack:
-            _, depth, children = stack[-1]
-            for byte, child in children:
-                del path[depth:], nodes[depth + 1 :]
-                path.append(byte)
-                nodes.append(child)
-                if last[child] < 0:
-                    for n in range(min(depth + 1, self.longest.get(byte, 1)), 0, -1):
-                        token = self.ranks.get(bytes(path[depth + 1 - n :]))
-                        if token is not None and self.stand(last[nodes[depth + 1 - n]], token):
-                            last[child], before[child] = token, nodes[depth + 1 - n]
+                    end = depth + 1
+                    for n in range(min(end, longest.get(text[depth - 1 : end], 1) if depth else 1), 0, -1):
+                        token = ranks.get(text[end - n : end])
+                        if token is not None and self.stand(last[nodes[end - n]], token):
+                            last.append(token)
+                            before.append(nodes[end - n])
                             break
-                if steps[child]:
-                    stack.append((child, depth + 1, iter(steps[child].items())))
-                    break
-            else:
-                stack.pop()
-        for word, node in ends.items():
+                node = child
+                nodes.append(node)
             ids = []
             while node:
                 ids.append(last[node])
                 node = before[node]
             self.words[word] = tuple(reversed(ids))
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(offsets, ids) of the texts; null and empty texts have no ids."""
+    def _split(self, texts: list[str | None]) -> list[list[str]]:
+        """The words of each text, all of them in the table."""
         if len(self.steps) > MOST_NODES or len(self.words) > MOST_NODES:
             self.reset()
-        split = [self.split(t) if t else () for t in texts]
-        new = {w for words in split for w in words if w not in self.words}
-        if new:
-            # nodes met again keep their states, but the walk must not visit the whole trie for every batch
-            if len(self.steps) > 4 * sum(map(len, new)) + 1000:
-                self.steps, self.last, self.before = [{}], [-1], [-1]
+        split = [self.split(t) if t else [] for t in texts]
+        known = self.words
+        if new := {w for words in split for w in words if w not in known}:
             self.learn(list(new))
-        table = self.words
-        ids: list[int] = []
+        return split
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, ids) of the texts; null and empty texts have no ids."""
+        split, get = self._split(texts), self.words.__getitem__
+        parts = [list(chain.from_iterable(map(get, words))) for words in split]
         offsets = np.zeros(len(texts) + 1, np.int32)
-        for k, words in enumerate(split):
-            for word in words:
-                ids.extend(table[word])
-            offsets[k + 1] = len(ids)
-        return offsets, np.array(ids, np.int32)
+        np.cumsum([len(p) for p in parts], out=offsets[1:])
+        return offsets, np.fromiter(chain.from_iterable(parts), np.int32, int(offsets[-1]))
+
+    def count(self, texts: list[str | None]) -> list[int]:
+        """How many ids encode() gives for each text."""
+        split, get = self._split(texts), self.words.__getitem__
+        return [sum(map(len, map(get, words))) for words in split]
 
 
 def _encoder(vocabulary):
@@ -189,8 +179,8 @@ def token_counts(df: DataFrame, key: str, text: str, carry: list[str], vocabular
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(vocabulary)()
         for batch in _pieces(batches, 1000):
-            offsets, _ = encoder.encode(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets).astype(np.int64)), *batch.columns[2:]], schema=schema)
+            sizes = encoder.count(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), *batch.columns[2:]], schema=schema)
 
     source = df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"), *[F.col(c).cast("string").alias(c) for c in carry])
     return source.mapInArrow(run, "key long, n_tokens long" + "".join(f", `{c}` string" for c in carry)).withColumnRenamed("key", key)

@@ -33,7 +33,7 @@ from ..shipping import ship
 from .components import components
 from .ranks import join_counted
 
-#: Hashes of 16 bits that an order's first regions share; three fit into a key beside the order's number.
+#: Hashes of 16 bits that an order's first regions share.
 DEPTH = 3
 #: Most records of a region whose pairs are all compared as they are.
 HOT = 4096
@@ -249,8 +249,8 @@ def _blocks(rows: DataFrame, reps: DataFrame) -> DataFrame:
 
 def _regions(reps: DataFrame, orders: int, branches: int) -> DataFrame:
     """(region, cid, s1, s2): every record in each region in which its pairs are to be compared, none of them of many more than HOT records."""
-    # an order's number and its first hashes, as they stand in the signature, are the key: equal keys are runs of the sorted order
-    first = F.array(*[F.conv(F.hex(F.concat(F.lit(bytes([0, o % 128])), F.substring("sig", 1 + 6 * o, 6))), 16, 10).cast("long") for o in range(orders)])
+    # equal keys are the runs of the sorted order that share its first hashes
+    first = F.array(*[F.xxhash64(F.lit(o), F.substring("sig", 1 + 2 * DEPTH * o, 2 * DEPTH)) for o in range(orders)])
     keyed = reps.select(F.explode(first).alias("region"), "cid", "s1", "s2")
     large = cut(keyed.groupBy("region").agg(F.count("*").alias("n")).where(F.col("n") > HOT), "large")
     out = keyed.join(large, "region", "left_anti")

@@ -50,7 +50,11 @@ def p5_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
-    return quota.quota_report(table(spark, d, "dev_tied_append"), table(spark, d, "sample_targets"))
+    return quota.quota_report(table(spark, d, "dev_tied_append"), table(spark, d, "sample_targets")).drop("drawn")
+
+
+def p5_drawn(spark: SparkSession, d: str) -> DataFrame:
+    return quota.quota_report(table(spark, d, "dev_tied_append"), table(spark, d, "sample_targets")).select("target_no", "db_id", "difficulty", "drawn")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -86,7 +90,7 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    names = [p1_found, p1_labels, p2_found, p2_splits, p3_sample, p4_found, p4_groups, p5_found, p5_sample, p5_report, p6_found, p6_collapsed, p7_ids, p8_mix, p8_report, p8_shards, p9_found, p9_redacted]
+    names = [p1_found, p1_labels, p2_found, p2_splits, p3_sample, p4_found, p4_groups, p5_found, p5_sample, p5_report, p5_drawn, p6_found, p6_collapsed, p7_ids, p8_mix, p8_report, p8_shards, p9_found, p9_redacted]
     return {f.__name__: f for f in names}
 
 
@@ -125,4 +129,5 @@ v AS (SELECT a, b, len(list_intersect(m.w, n.w)) AS k, len(m.w) AS ka, len(n.w)
 SELECT a AS record_id_a, b AS record_id_b FROM v WHERE k >= 0.75 * (ka + kb - k)
 """,
         "p5_found": unmet + "SELECT DISTINCT db_id, difficulty FROM t WHERE need > available",
+        "p5_report": unmet + "SELECT target_no, db_id, difficulty, available, need::BIGINT AS need, greatest(0, need - available)::BIGINT AS deficit FROM t",
     }

@@ -52,3 +52,10 @@ def failure_labels(df: DataFrame, shapes: DataFrame | None = None) -> DataFrame:
         }
 
     return met.select("idx", F.filter(F.array(*[F.when(t, F.lit(k)) for k, t in tests().items()]), lambda v: v.isNotNull()).alias("labels"))
+
+
+def by_priority(labelled: DataFrame, most: int = 50) -> DataFrame:
+    """The failures to look at first, most of them: those of a failed reference statement, then of a strong wrong consensus, then by more executed
+    candidates and fewer different statements. labelled holds idx, labels, executed and texts."""
+    has = lambda label: F.array_contains("labels", label)
+    return labelled.orderBy(F.desc(has("gold_sql_execution_failed")), F.desc(has("strong_consensus_wrong_result")), F.desc("executed"), "texts", "idx").limit(most)

@@ -60,6 +60,11 @@ def top_values(df: DataFrame, columns: list[str] | None = None, k: int = 5) -> D
     return value_counts(df, columns).where("value is not null").withColumn("place", place).where(C("place") <= k)
 
 
+def first_values(df: DataFrame, column: str, n: int = 20) -> DataFrame:
+    """The first n values of a column that aren't null, as the table has them; a limit, so no more is read than needed."""
+    return df.select(C(f"`{column}`").alias("value")).where("value is not null").limit(n)
+
+
 def character_classes(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Shares of a column's values that hold capitals, small letters, digits, blanks, punctuation, are all digits, look like dates or like JSON."""
     v, n = C("value"), C("n")

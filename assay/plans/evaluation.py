@@ -315,3 +315,27 @@ def token_normaliser(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "run_inference_bird").agg(
         F.greatest(F.sum("completion_token_count"), F.lit(1)).alias("tokens"), F.count_if((C("completion_token_count") >= 200) & (C("stop_reason") != "finished")).alias("cut_off")
     )
+
+
+@query(f"""
+WITH {_ONCE}, q AS (SELECT question_id, arg_min({_LEVEL_SQL}, record_id) AS difficulty FROM dev_tied_append GROUP BY 1)
+SELECT candidate_id, idx, coalesce(db_id, '') AS db_id, coalesce(q.difficulty, 'unknown') AS difficulty, coalesce(correct, 0) AS correct, coalesce(status, '') AS status, coalesce(stop_reason, '') AS stop_reason,
+ prompt_tokens, completion_token_count AS completion_tokens, tool_rounds, tool_call_count, CASE WHEN len(coalesce(tool_order, [])) = 0 THEN '<none>' ELSE array_to_string(tool_order, ' -> ') END AS tool_order,
+ coalesce(length(trim(pred_sql)) > 0, false) AS pred_sql_extracted, coalesce(pred_executed, false) AS pred_executed, coalesce(length(trim(gold_sql)) > 0, false) AS gold_sql_extracted, coalesce(gold_executed, false) AS gold_executed,
+ coalesce(pred_error, '') AS pred_error, coalesce(gold_error, '') AS gold_error, coalesce(pred_sql, '') AS pred_sql, coalesce(gold_sql, '') AS gold_sql FROM c LEFT JOIN q ON c.idx = q.question_id
+""")
+def candidate_report(spark: SparkSession, d: str) -> DataFrame:
+    """One row a candidate with what a report shows of it: generation, execution and the question's difficulty."""
+    from ..functions import sqltext as tx
+
+    level = F.when(F.coalesce(F.trim("difficulty"), F.lit("")) == "", F.lit("unknown")).otherwise(F.lower(F.trim("difficulty")))
+    asked = table(spark, d, "dev_tied_append").groupBy("question_id").agg(F.min_by(level, "record_id").alias("difficulty"))
+    rows = _once(spark, d)
+    met = rows.join(asked, rows.idx == asked.question_id, "left")
+    text = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return met.select(
+        "candidate_id", "idx", text("db_id"), F.coalesce("difficulty", F.lit("unknown")).alias("difficulty"), F.coalesce("correct", F.lit(0)).alias("correct"), text("status"), text("stop_reason"),
+        "prompt_tokens", C("completion_token_count").alias("completion_tokens"), "tool_rounds", "tool_call_count", tx.tool_order("tool_order").alias("tool_order"),
+        tx.has_content("pred_sql").alias("pred_sql_extracted"), F.coalesce("pred_executed", F.lit(False)).alias("pred_executed"), tx.has_content("gold_sql").alias("gold_sql_extracted"), F.coalesce("gold_executed", F.lit(False)).alias("gold_executed"),
+        text("pred_error"), text("gold_error"), text("pred_sql"), text("gold_sql"),
+    )

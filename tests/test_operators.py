@@ -203,6 +203,15 @@ def test_failures(spark):
     assert [(r["idx"], r["labels"]) for r in got] == [(1, ["all_pred_sql_execution_failed", "hit_max_new_tokens", "schema_column_error", "low_diversity_repeated_wrong_sql"])]
 
 
+def test_failures_by_priority(spark):
+    from assay.operators.failures import by_priority
+
+    rows = [(1, ["x"], 3, 2), (2, ["gold_sql_execution_failed"], 0, 1), (3, ["strong_consensus_wrong_result"], 8, 1), (4, ["x"], 5, 4), (5, ["x"], 5, 1), (6, [], 0, 0)]
+    df = spark.createDataFrame(rows, "idx int, labels array<string>, executed int, texts int")
+    assert [r["idx"] for r in by_priority(df).collect()] == [2, 3, 5, 4, 1, 6] and by_priority(df, 2).count() == 2
+    assert profile.first_values(spark.createDataFrame([(None,), ("a",), ("b",)], "v string").coalesce(1), "v", 1).collect()[0]["value"] == "a"
+
+
 def test_dataset(spark):
     df = spark.createDataFrame([(1, "", "SELECT 1", None, None), (2, None, None, "x", "h")], "id int, gold_sql string, query string, database string, hint string")
     got = {r["id"]: (r["gold_sql"], r["db_id"], r["evidence"]) for r in dataset.normalised(df).collect()}

@@ -111,6 +111,14 @@ def test_arguments():
     assert [arguments.scalar(v) for v in ("true", "null", '<|"|>hi<|"|>', "'q'", "[1, 2]", "5", "2.5", "x")] == [True, None, "hi", "q", [1, 2], 5, 2.5, "x"]
 
 
+def test_tool_responses(spark):
+    assert one(spark, tx.tool_response(F.lit("peek"), "t"), t='{"a": 1}') == '<|tool_response>response:peek{value:{"a": 1}}<tool_response|>'
+    shown = one(spark, tx.tool_response(F.lit("sqlite_query"), "t"), t='{"columns": ["a"], "rows": []}')
+    assert shown.startswith('<|tool_response>response:sqlite_query{value:{"columns": ["a"], "rows": [], "column_coverage_reminder": "Before') and shown.endswith('."}}<tool_response|>')
+    assert "reminder" not in one(spark, tx.tool_response(F.lit("sqlite_query"), "t"), t='{"columns": [], "error": "x"}') and "{value:null}" in one(spark, tx.tool_response(F.lit("sqlite_query"), "t"), t=None)
+    assert one(spark, tx.before_first_call("t"), t=" thinking \n call:peek{t:x} call:x{}") == "thinking" and one(spark, tx.before_first_call("t"), t=None) == ""
+
+
 def test_messages(spark):
     message = lambda r, c: F.struct(F.lit(r).alias("role"), F.lit(c).alias("content"))
     m = F.array(message("system", "s"), message("user", "u"), message("assistant", "a"))

@@ -54,10 +54,9 @@ HELD_OUT = [
 def answered(spark):
     rows = []
     for copy in range(8):  # the label model is fitted on counts
-        for i, (text, label) in enumerate(ANSWERS + HELD_OUT):
+        for i, (text, _) in enumerate(ANSWERS + HELD_OUT):
             sql = None if text is None or not answers.statement_of(text) else text
-            limit = (i + copy) % 2 == 0 if label == "truncated" else (i + copy) % 10 == 0
-            rows.append((copy * 100 + i, 7, text, sql, GOLD, "max_new_tokens" if limit else "finished", None if copy == 3 else len(text or "") // 4))
+            rows.append((copy * 100 + i, 7, text, sql, GOLD, "max_new_tokens" if (i + copy) % 5 == 0 else "finished", None if copy == 3 else len(text or "") // 4))
         for i in range(300):
             rows.append((10_000 + copy * 1000 + i, 7, GOLD, GOLD, GOLD, "finished", 30))
     df = spark.createDataFrame(rows, "candidate_id long, idx int, prediction_text string, pred_sql string, gold_sql string, stop_reason string, completion_token_count int")
@@ -70,6 +69,17 @@ def test_defects(answered):
     assert not wrong and not [k for k in got if k >= 10_000]
 
 
+def test_cutoffs_are_validated(answered):
+    post = defects.posteriors(*answered).where("candidate_id < 10000").collect()
+    for value in (0.2, 0.5, 0.6):
+        main: dict[int, tuple] = {}
+        for r in post:
+            if r["posterior"] > value:
+                key = (-int(r["posterior"] * 10), defects.ORDER.index(r["defect"]))
+                main[r["candidate_id"]] = min(main.get(r["candidate_id"], (key, r["defect"])), (key, r["defect"]))
+        assert all((main.get(c * 100 + i, (0, None))[1]) == ANSWERS[i][1] for c in range(8) for i in range(len(ANSWERS)))
+
+
 def test_cutoffs_are_chosen_on_one_set_and_judged_on_another(answered):
     """The cutoffs are what ANSWERS give; of HELD_OUT, which they never saw, at least nine in ten labels are right."""
     post = [(r["candidate_id"], r["defect"], r["posterior"]) for r in defects.posteriors(*answered).where("candidate_id < 10000").collect()]

@@ -313,12 +313,12 @@ def _hashed_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(hashes)))], schema=schema)
 
 
-def _expanded(pairs: DataFrame, side: str, copies: DataFrame, sizes: DataFrame) -> DataFrame:
+def _expanded(pairs: DataFrame, side: str, sized: DataFrame, sizes: DataFrame) -> DataFrame:
     """pairs with side replaced by each member of its class. Classes of several records are met chunk by chunk, so that
     no task gets a whole one."""
     chunks = F.ceil(F.col("n") / HOT).cast("int")
     deal = lambda x: F.pmod(F.xxhash64(x), chunks).cast("int")
-    own = copies.join(sizes, "cid").select(F.col("cid").alias(side), F.col("id").alias("member"), deal("id").alias("chunk"))
+    own = sized.select(F.col("cid").alias(side), F.col("id").alias("member"), deal("id").alias("chunk"))
     asked = pairs.join(sizes.select(F.col("cid").alias(side), "n"), side).withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1))).drop("n")
     return pairs.unionByName(asked.join(own, [side, "chunk"]).drop(side, "chunk").withColumnRenamed("member", side).select(*pairs.columns))
 
@@ -333,11 +333,12 @@ def near_pairs(records: DataFrame, key: str, columns: list[str], similarity: flo
     """
     classes = Classes(records, key, columns, similarity)
     sizes, copies = cut(classes.sizes, "class-sizes"), classes.copies
-    across = _expanded(_expanded(classes.pairs(), "a", copies, sizes), "b", copies, sizes)
+    sized = join_counted(copies, sizes, ["cid"])
+    across = _expanded(_expanded(classes.pairs(), "a", sized, sizes), "b", sized, sizes)
     across = across.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))
     # within a class, its least key with each copy, and every two copies: a star expanded on its middle
     star = copies.select(F.col("cid").alias("a"), F.col("id").alias("b"))
-    within = _expanded(star, "a", copies, sizes).where("a < b").select(F.col("a").alias("id_a"), F.col("b").alias("id_b"))
+    within = _expanded(star, "a", sized, sizes).where("a < b").select(F.col("a").alias("id_a"), F.col("b").alias("id_b"))
     return across.unionByName(within).where("id_a < id_b").distinct()
 
 

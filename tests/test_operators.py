@@ -1,6 +1,10 @@
 """Small fixtures of the engine's operators."""
 
 import json
+import math
+import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -293,6 +297,75 @@ def test_bm25_of_hot_words(spark, monkeypatch):
     assert score() == plain and len(plain) == 60
 
 
+def rows_shuffled(spark):
+    """Rows written to shuffles so far, by stage."""
+    doubles = spark._jvm.java.lang.reflect.Array.newInstance(spark._jvm.java.lang.Double.TYPE, 0)
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = spark._jsc.sc().statusStore().stageList(None, False, False, doubles, None)
+    return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (stages.apply(i) for i in range(stages.size()))}
+
+
+@pytest.mark.parametrize("name", ["bm25_fewshot"])
+def test_searches_shuffle_no_pairs(spark, tmp_path, name):
+    """Every document shares words with every query; what is shuffled is less than a row for each pair of them."""
+    from assay.plans import catalogue
+
+    rows = [(i, f"d{i % 7}", f"the {' '.join(f'w{(i * 7 + j * j) % 50}' for j in range(15))}", None) for i in range(1, 20_001)]
+    spark.createDataFrame(rows, "record_id long, db_id string, question string, evidence string").write.parquet(str(tmp_path / "dev_tied_append.parquet"))
+    before = rows_shuffled(spark)
+    got = catalogue.QUERIES[name](spark, str(tmp_path)).collect()
+    assert len(got) == 200 * (5 if name == "bm25_search" else 3)
+    written = [n for k, n in rows_shuffled(spark).items() if k not in before]
+    assert 20_000 <= max(written) < 20_000 * 200 / 10
+
+
+def bm25_by_hand(docs, asked, k, group, fill):
+    words = lambda t: re.findall(r"\w+", (t or "").lower())
+    bags = {d: words(t) for d, t, _ in docs}
+    n, mean = len(docs), sum(map(len, bags.values())) / len(docs)
+    df = Counter(w for b in bags.values() for w in set(b))
+    raw = {w: math.log(n - c + 0.5) - math.log(c + 0.5) for w, c in df.items()}
+    idf = {w: x if x >= 0 else 0.25 * sum(raw.values()) / len(raw) for w, x in raw.items()}
+    out = {}
+    for q, t, own in asked:
+        found = []
+        for d, _, g in docs:
+            tf = Counter(bags[d])
+            score = sum(idf[w] * tf[w] * 2.5 / (tf[w] + 1.5 * (0.25 + 0.75 * len(bags[d]) / mean)) for w in words(t) if w in tf)
+            if (not group or g != own) and (fill or set(tf) & set(words(t))):
+                found.append((-round(score, 4), d))
+        out |= {(q, i + 1): (d, -s) for i, (s, d) in enumerate(sorted(found)[:k])}
+    return out
+
+
+@pytest.mark.parametrize("group", [None, "g"])
+@pytest.mark.parametrize("fill", [True, False])
+@pytest.mark.parametrize("common", [False, True])
+def test_best_by_blocks(spark, monkeypatch, group, fill, common):
+    """Ties, empty texts, words of every document or of none, negative weights, null groups; blocks of few pairs, few postings and few queries."""
+    r = random.Random(5)
+    text = lambda: " ".join(r.choices("the of Boat red é 7" if common else [f"w{i * i % 90}" for i in range(60)], k=r.choice([0, 1, 3, 8])))
+    docs = [(f"d{i:03}", r.choice([text(), "same text", None, "The the boat"]), r.choice(["a", "b", None])) for i in range(150)]
+    asked = [(i, r.choice([text(), "same boat boat", "unheard", "the", None]), r.choice(["a", "b", "c", None])) for i in range(40)]
+    want = bm25_by_hand(docs, asked, 4, group, fill)
+    frames = spark.createDataFrame(docs, "id string, t string, g string").repartition(3), spark.createDataFrame(asked, "q int, s string, g string")
+    for sizes in ({}, {"PAIRS": 100, "POSTINGS": 20, "DENSE": 25, "FIRST": 2}):
+        for k, v in sizes.items():
+            monkeypatch.setattr(search.nearest, k, v)
+        monkeypatch.setattr(search, "AT_ONCE", 15 if sizes else 4096)
+        got = search.best(frames[0], "id", F.col("t"), frames[1], "q", F.col("s"), 4, group, fill).collect()
+        assert {(x["query"], x["place"]): x["doc"] for x in got} == {at: doc for at, (doc, _) in want.items()}
+        assert all(x["score"] == pytest.approx(want[x["query"], x["place"]][1]) for x in got)
+
+
+def test_few_shots_of_repeated_ids(spark):
+    docs = spark.createDataFrame([(1, "red boat", "a"), (1, "red", "a"), (2, "boat", "b"), *((i, f"sea{i}", "b") for i in range(3, 9))], "id int, t string, g string")
+    assert search.repeats(docs, "id") and search.repeats(docs.selectExpr("nullif(id, 2) AS id").where("id IS NULL"), "id") and not search.repeats(docs.where("id = 2"), "id")
+    asked = spark.createDataFrame([(5, "red", "c")], "id int, t string, g string")
+    got = search.few_shots(docs, "id", F.col("t"), asked, "id", F.col("t"), 2, "g").collect()
+    assert [r["doc"] for r in got] == [1, 1]  # both rows of the id
+
+
 def test_roots(spark, tmp_path):
     assert catalog.roots(["a/", "b"], "b:c::") == ["a", "b", "c"] and catalog.roots(["a"], "b:c", first=False) == ["b", "c", "a"]
     (tmp_path / "databases" / "shop").mkdir(parents=True)

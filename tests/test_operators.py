@@ -305,7 +305,7 @@ def rows_shuffled(spark):
     return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (stages.apply(i) for i in range(stages.size()))}
 
 
-@pytest.mark.parametrize("name", ["bm25_fewshot"])
+@pytest.mark.parametrize("name", ["bm25_search", "bm25_fewshot"])
 def test_searches_shuffle_no_pairs(spark, tmp_path, name):
     """Every document shares words with every query; what is shuffled is less than a row for each pair of them."""
     from assay.plans import catalogue
